@@ -14,9 +14,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def squash(c: Column | str) -> Column:
     """Trim every kind of white space (plain ``trim`` only takes spaces)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def capture(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -24,6 +31,12 @@ def capture(c: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(col(c), pattern, group), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value for use inside lambdas. An outer expression named in a lambda is
+    evaluated again for every element; a bound one is evaluated once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ---- numbers ---------------------------------------------------------------
 
 def list_number(c: Column | str) -> Column:

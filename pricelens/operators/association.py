@@ -42,12 +42,13 @@ def linked_association(hrefs: Column | str, own_slug: Column | str, host: str) -
     return F.get(F.filter(slugs, lambda s: (s != "") & (s != tx.col(own_slug))), F.lit(0))
 
 
-def resolve_address_pages(pages: DataFrame, host: str) -> DataFrame:
+def resolve_address_pages(pages: DataFrame, host: str, keep: list[str] | None = None) -> DataFrame:
     """Address pages (``addr_slug``, ``body``, ``hrefs``) -> (addr_slug, brf_slug, orgnr);
     both null for missing pages and pages without a foreign tab link."""
     missing = F.col("body").contains(fv.PAGE_NOT_FOUND) | F.substring("body", 1, 200).contains("404")
     slug = F.when(~missing, linked_association("hrefs", "addr_slug", host))
     return pages.select(
+        *(keep or []),
         "addr_slug",
         slug.alias("brf_slug"),
         F.when(slug.isNotNull(), tx.capture("body", fv.ORG_NUMBER)).alias("orgnr"),

@@ -99,10 +99,12 @@ def parse_sold_cards(cards: DataFrame, site: str = "", keep: list[str] | None =
         card_lines("text").alias("lines"),
     )
     base = base.withColumn("sold_at", _first_index(F.col("lines"), _matches(fv.SOLD_LINE)))
+    at = F.col("sold_at")
+    without = F.concat(F.slice("lines", F.lit(1), at), _tail(F.col("lines"), at + 1))
     base = base.withColumn(
         "sold_date",
-        F.regexp_replace(tx.squash(tx.capture(F.get("lines", F.col("sold_at")), fv.SOLD_LINE)), r"\.+$", ""),
-    ).withColumn("lines", F.filter("lines", lambda line, i: ~i.eqNullSafe(F.col("sold_at"))))
+        F.regexp_replace(tx.squash(tx.capture(F.get("lines", at), fv.SOLD_LINE)), r"\.+$", ""),
+    ).withColumn("lines", F.when(at.isNotNull(), without).otherwise(F.col("lines")))
     base = _split_address(base.drop("sold_at"))
     body = F.col("body")
     fee_at = _first_index(body, lambda line: line.contains("kr/mån"))

@@ -18,17 +18,23 @@ def label_values(body: Column | str, labels: list[str], cut_panel: bool = True)
     body = tx.col(body)
     if cut_panel:
         body = F.get(F.split(body, fv.PANEL_END, 2), F.lit(0))
-    lines = F.transform(F.split(body, "\n"), tx.squash)
+    trimmed = F.transform(F.split(body, "\n"), tx.squash)
 
-    def candidate(line: Column, i: Column) -> Column:
-        following = F.slice(lines, i + 2, F.lit(fv.VALUE_LOOKAHEAD_LINES))
-        value = F.get(F.filter(following, lambda v: v != ""), F.lit(0))
-        return F.struct(line.alias("key"), F.when(line.isin(labels), value).alias("value"))
+    def pairs_of(lines: Column) -> Column:
+        def candidate(line: Column, i: Column) -> Column:
+            following = F.slice(lines, i + 2, F.lit(fv.VALUE_LOOKAHEAD_LINES))
+            value = F.get(F.filter(following, lambda v: v != ""), F.lit(0))
+            return F.struct(line.alias("key"), F.when(line.isin(labels), value).alias("value"))
 
-    pairs = F.filter(F.transform(lines, candidate), lambda p: p["value"].isNotNull())
-    keys = F.transform(pairs, lambda p: p["key"])
-    firsts = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(firsts)
+        return F.filter(F.transform(lines, candidate), lambda p: p["value"].isNotNull())
+
+    def firsts(pairs: Column) -> Column:
+        return tx.let(
+            F.transform(pairs, lambda p: p["key"]),
+            lambda keys: F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1),
+        )
+
+    return F.map_from_entries(tx.let(tx.let(trimmed, pairs_of), firsts))
 
 
 def _value(raw: Column | str, label: str) -> Column:
@@ -131,8 +137,13 @@ def ordered_photos(images: Column | str, host: str) -> Column:
             F.lower(F.coalesce(i["alt"], F.lit(""))).alias("alt"),
         ),
     )
-    hashes = F.transform(keyed, lambda i: i["hash"])
-    once = F.filter(keyed, lambda i, pos: F.array_position(hashes, i["hash"]) == pos + 1)
+    once = tx.let(
+        keyed,
+        lambda items: tx.let(
+            F.transform(items, lambda i: i["hash"]),
+            lambda hashes: F.filter(items, lambda i, pos: F.array_position(hashes, i["hash"]) == pos + 1),
+        ),
+    )
 
     def rank(i: Column) -> Column:
         plan = i["alt"].contains("ritning")

@@ -21,7 +21,7 @@ from pricelens.session import cut_lineage
 
 FANOUT_BITS = 2  # per axis and step: 16 children per node
 MAX_STEPS = 13  # 2**26 columns and rows
-LEAF_POINTS = 32
+LEAF_POINTS = 64
 BROADCAST_NODES = 200_000  # about 20 MB of node rows
 SLACK = 1.0 + 1e-9  # rounding margin when comparing bounds
 
@@ -158,47 +158,45 @@ def nearest_neighbours(
     if classes is not None:
         front = front.withColumn("cls", F.explode(F.array(*[F.lit(c) for c in classes])))
     key = ["lat", "lon", *cls]
-    # Hash the probe once so every per-probe window below works on the same partitioning.
-    front = front.withColumn("node", F.lit(None).cast("struct<ny:bigint,nx:bigint>")).withColumn(
-        "points", F.lit(None).cast(tree.schema["points"].dataType)
-    ).withColumn("dmin", F.lit(0.0))
-
+    # Every probe starts at the root. A row whose node carries its points is final.
+    front = front.select(
+        *key,
+        F.struct(F.lit(0).cast("bigint").alias("ny"), F.lit(0).cast("bigint").alias("nx")).alias("node"),
+        F.lit(None).cast(tree.schema["points"].dataType).alias("points"),
+        F.lit(0.0).alias("dmin"),
+        F.lit(0.0).alias("dmax"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
     for step in range(1, depth + 1):
-        parent = F.struct(
-            F.shiftright("ny", FANOUT_BITS).alias("ny"), F.shiftright("nx", FANOUT_BITS).alias("nx")
-        )
         child = tree.where(F.col("step") == step).select(
             *[F.col(c).alias(f"c_{c}") for c in cls],
-            (parent if step > 1 else F.lit(None).cast("struct<ny:bigint,nx:bigint>")).alias("parent"),
+            F.struct(
+                F.shiftright("ny", FANOUT_BITS).alias("ny"), F.shiftright("nx", FANOUT_BITS).alias("nx")
+            ).alias("parent"),
             F.struct("ny", "nx").alias("c_node"),
             F.col("n").alias("c_n"),
             "min_lat", "max_lat", "min_lon", "max_lon",
             F.when(F.col("leaf"), F.col("points")).alias("c_points"),
         )
         # The first step has at most 16 nodes per class; deeper levels are broadcast only
-        # while the counted number of nodes stays small, else joined on the parent node.
+        # while the counted number of nodes stays small, else joined on the parent node
+        # (each parent has at most 16 rows, so a hot parent splits under adaptive execution).
         if step == 1 or node_counts.get(step, 0) <= BROADCAST_NODES:
             child = F.broadcast(child)
-        # A node that already carries its points is final: it has no children to join.
-        open_node = F.col("points").isNull()
-        match = F.col("node").eqNullSafe(F.col("parent")) if step == 1 else F.col("node") == F.col("parent")
+        # One left join opens the unfinished nodes and passes the finished ones through, and
+        # a broadcast join keeps the hash on the probe, so the windows below never reshuffle.
+        match = F.when(F.col("points").isNull(), F.col("node")) == F.col("parent")
         for c in cls:
             match = match & (F.col(c) == F.col(f"c_{c}"))
-        opened = front.where(open_node).drop("points", "dmin").join(child, match)
         low, high = metric.bounds(F.col("lat"), F.col("lon"), Box())
-        opened = opened.select(
+        opened = front.join(child, match, "left").select(
             *key,
-            F.col("c_node").alias("node"),
-            F.col("c_points").alias("points"),
-            low.alias("dmin"),
-            high.alias("dmax"),
-            F.col("c_n").alias("n"),
+            F.coalesce("c_node", "node").alias("node"),
+            F.coalesce("c_points", "points").alias("points"),
+            F.when(F.col("c_node").isNotNull(), low).otherwise(F.col("dmin")).alias("dmin"),
+            F.when(F.col("c_node").isNotNull(), high).otherwise(F.col("dmax")).alias("dmax"),
+            F.coalesce("c_n", "n").alias("n"),
         )
-        if step > 1:
-            done = front.where(~open_node).select(
-                *key, "node", "points", "dmin", "dmax", "n"
-            )
-            opened = opened.unionByName(done)
         near_first = Window.partitionBy(*key).orderBy("dmax").rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*key)
         guaranteed = F.min(F.when(F.col("_seen") >= k, F.col("dmax"))).over(whole)
@@ -207,7 +205,7 @@ def nearest_neighbours(
         if max_distance is not None:
             bound = F.least(bound, F.lit(float(max_distance)))
         front = opened.where(bound.isNull() | (F.col("dmin") <= bound * SLACK)).drop("_seen", "_bound")
-        if step % 3 == 0 and step < depth:
+        if step % 4 == 0 and step < depth:
             front = cut_lineage(front)
 
     pairs = front.select(*key, F.explode("points").alias("p"))
