@@ -73,7 +73,10 @@ def first_candidate_hit(
     geo_display_name."""
     tried = rows.select("*", F.posexplode(candidates).alias("pos", "query"))
     found = tried.withColumn("cache_key", tx.short_sha1("query")).join(
-        cache.where("lat IS NOT NULL AND lon IS NOT NULL").withColumnRenamed("key", "cache_key"), "cache_key"
+        cache.where("lat IS NOT NULL AND lon IS NOT NULL").select(
+            F.col("key").alias("cache_key"), "lat", "lon", "display_name"
+        ),
+        "cache_key",
     )
     if accept is not None:
         found = found.where(accept)

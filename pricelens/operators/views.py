@@ -76,12 +76,15 @@ def in_viewport(south: float, west: float, north: float, east: float) -> Column:
 def count_facets(rows: DataFrame, facets: dict[str, Column]) -> DataFrame:
     """Counts of every facet value in one pass; array facets count each element, null
     values are not counted."""
+
+    def named(label: str):
+        return lambda v: F.struct(F.lit(label).alias("facet"), v.alias("value"))
+
     entries = []
     for name, value in facets.items():
         is_array = name.endswith("[]")
         values = F.coalesce(value, F.array().cast("array<string>")) if is_array else F.array(value.cast("string"))
-        label = name.removesuffix("[]")
-        entries.append(F.transform(values, lambda v, label=label: F.struct(F.lit(label).alias("facet"), v.alias("value"))))
+        entries.append(F.transform(values, named(name.removesuffix("[]"))))
     every = F.concat(*entries)
     return (
         rows.select(F.explode(every).alias("e"))
