@@ -110,12 +110,13 @@ def _area_head(area: Column) -> Column:
 
 def coarse_district(area: Column | str) -> Column:
     """Coarse district: first word, or two when the first is directional."""
-    head = squash(F.get(F.split(_area_head(col(area)), r"[/\-–]"), F.lit(0)))
-    first = F.regexp_extract(head, r"(?U)^(\S+)", 1)
-    second = F.regexp_extract(head, r"(?U)^\S+\s+(\S+)", 1)
+    # One or two words up to the first comma, full stop, slash or dash.
+    words = r"(?U)^\s*([^\s,./\-–]+)(?:\s+([^\s,./\-–]+))?"
+    first = F.coalesce(F.regexp_extract(col(area), words, 1), F.lit(""))
+    second = F.regexp_extract(col(area), words, 2)
     two = F.lower(first).isin(fv.DIRECTIONAL_WORDS) & (second != "")
     return (
-        F.when(F.coalesce(head, F.lit("")) == "", fv.UNKNOWN_DISTRICT)
+        F.when(first == "", fv.UNKNOWN_DISTRICT)
         .when(two, F.concat_ws(" ", F.initcap(first), F.initcap(second)))
         .otherwise(F.initcap(first))
     )

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens import fixed_values as fv
-from pricelens.operators.quantiles import exact_quantiles
+from pricelens.operators.quantiles import quantiles_of_counts
+from pricelens.session import cut_lineage
 
 GLOBAL = "*"
 
@@ -85,9 +86,13 @@ def level_medians(feats: DataFrame, keys: list[str], level: str = "level") -> Da
             )
         ).alias("e"),
     ).select(*keys, "level", "e.field", "e.v")
-    counts = melted.where("v IS NOT NULL").groupBy(*keys, "level", "field", "v").agg(F.count("*").alias("c"))
+    counts = cut_lineage(
+        melted.where("v IS NOT NULL").groupBy(*keys, "level", "field", "v").agg(F.count("*").alias("c")), "counts"
+    )
     scoped = counts.withColumn("scope", F.explode(F.array(F.col("level"), F.lit(GLOBAL))))
-    medians = exact_quantiles(scoped.where("field <> 'hiss'"), [*keys, "scope", "field"], "v", {"median": 0.5}, "c")
+    medians = quantiles_of_counts(
+        scoped.where("field <> 'hiss'"), [*keys, "scope", "field"], "v", "c", {"median": 0.5}
+    )
     lift = (
         scoped.where("field = 'hiss'")
         .groupBy(*keys, "scope")

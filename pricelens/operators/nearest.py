@@ -68,7 +68,7 @@ def _depth_needed(coded: DataFrame, cls: list[str], leaf_points: int) -> tuple[i
         .collect()
     )
     by_step = {r["step"]: r for r in sizes}
-    deep = next((s for s in sorted(by_step) if by_step[s]["largest"] <= leaf_points), MAX_STEPS)
+    deep = next((s for s in sorted(by_step) if by_step[s]["largest"] <= leaf_points), MAX_STEPS if by_step else 1)
     return deep, {s: r["nodes"] for s, r in by_step.items()}
 
 
@@ -148,6 +148,7 @@ def nearest_neighbours(
     # copies of a crowded address go before any shuffle (partial window group limit).
     same_place = Window.partitionBy(*cls, "p_lat", "p_lon").orderBy("p_pos")
     located = located.withColumn("_c", F.row_number().over(same_place)).where(F.col("_c") <= k).drop("_c")
+    located = cut_lineage(located, "points")
     coded = _grid_codes(located, cls)
     depth, node_counts = _depth_needed(coded, cls, leaf_points)
     tree = cut_lineage(_tree(coded, cls, depth, leaf_points))

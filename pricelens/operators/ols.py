@@ -150,6 +150,16 @@ class GroupedOls:
     coefficients: DataFrame  # keys, intercept, b_<x>
     effects: DataFrame  # keys, level, level_n, effect
 
+    def only(self, key: str, value: str) -> "GroupedOls":
+        """The models with one value of a key, without that key."""
+        keys = [k for k in self.keys if k != key]
+        return GroupedOls(
+            keys,
+            self.xs,
+            self.coefficients.where(F.col(key) == value).drop(key),
+            self.effects.where(F.col(key) == value).drop(key),
+        )
+
     def linear(self) -> Column:
         """x . beta of a row joined with ``coefficients``."""
         out = F.lit(0.0)
@@ -161,7 +171,9 @@ class GroupedOls:
         """Adds the prediction; a level without training rows counts as the first level."""
         coef = self.coefficients.select(*self.keys, "intercept", *[f"b_{x}" for x in self.xs])
         effects = self.effects.select(*self.keys, F.col("level").alias(level), "effect")
-        joined = rows.join(F.broadcast(coef), self.keys).join(effects, [*self.keys, level], "left")
+        shared = [key for key in self.keys if key in rows.columns]
+        # The coefficient table has one row per model (and feature set).
+        joined = rows.join(F.broadcast(coef), shared).join(effects, [*self.keys, level], "left")
         scored = joined.withColumn(out, F.coalesce("effect", "intercept") + self.linear())
         return scored.drop("effect", "intercept", *[f"b_{x}" for x in self.xs])
 

@@ -70,10 +70,13 @@ def train(
     fills = features.fill_values(medians, KEYS, ground_floor_missing)
     design = features.training_design(folded, fills, KEYS)
     sums = cut_lineage(ols.level_sums(design, [*KEYS, "is_test"], "level", xs, "log_price"))
-    everything = ols.add_level_sums(sums, KEYS)
-    models = everything.groupBy(*KEYS).agg(F.min("level").alias("ref_level"))
-    full = ols.fit(everything, KEYS, xs, models, subsets)
-    partial = ols.fit(sums.where(~F.col("is_test")).drop("is_test"), KEYS, xs, models, subsets)
+    # Both fits from the same sums: test rows count only in the final one.
+    fits = F.when(F.col("is_test"), F.array(F.lit("full"))).otherwise(F.array(F.lit("full"), F.lit("holdout")))
+    both = ols.add_level_sums(sums.withColumn("fit", F.explode(fits)), [*KEYS, "fit"])
+    first = sums.groupBy(*KEYS).agg(F.min("level").alias("ref_level"))
+    models = first.withColumn("fit", F.explode(F.array(F.lit("full"), F.lit("holdout"))))
+    fitted = ols.fit(both, [*KEYS, "fit"], xs, models, subsets)
+    full, partial = fitted.only("fit", "full"), fitted.only("fit", "holdout")
     counts = sums.groupBy(*KEYS).agg(
         F.sum(F.when(~F.col("is_test"), F.col("n")).otherwise(0)).alias("n_train"),
         F.sum(F.when(F.col("is_test"), F.col("n")).otherwise(0)).alias("n_test"),

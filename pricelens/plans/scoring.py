@@ -22,25 +22,26 @@ def model_key(bostadstyp: Column, region: Column) -> Column:
     )
 
 
+MODELLED_TYPES = fv.APARTMENT_TYPES + fv.VILLA_TYPES + fv.ROW_TYPES
+
+
 def _encode(rows: DataFrame, district: Column | None = None) -> DataFrame:
-    """District label by the model's encoder: coarse for the inner model, else fine."""
+    """District label by the model's encoder: coarse for the inner model, else fine.
+    ``coarse`` is already a column."""
     fine = F.col("model") != "apt_inner"
-    label = F.when(fine, tx.fine_district("area")).otherwise(tx.coarse_district("area"))
+    label = F.when(fine, tx.fine_district("area")).otherwise(F.col("coarse"))
     return rows.withColumns(
-        {
-            "district": F.coalesce(district, label) if district is not None else label,
-            "coarse": tx.coarse_district("area"),
-            "fold_fine": fine,
-        }
+        {"district": F.coalesce(district, label) if district is not None else label, "fold_fine": fine}
     )
 
 
 def training_rows(sold: DataFrame, is_test: Column | None = None) -> DataFrame:
     """Sold rows with a price, an area and a modelled type, one model each."""
-    usable = sold.where(F.col("price_kr") > 0).withColumn(
-        "model", model_key(F.col("bostadstyp"), tx.region_of("area"))
+    usable = sold.where((F.col("price_kr") > 0) & F.col("bostadstyp").isin(MODELLED_TYPES))
+    usable = usable.withColumn("coarse", tx.coarse_district("area")).withColumn(
+        "model", model_key(F.col("bostadstyp"), tx.region_of_district("coarse"))
     )
-    feats = features.featurize(usable.where(F.col("model").isNotNull()))
+    feats = features.featurize(usable)
     flag = hedonic.holdout_flag(F.col("listing_id")) if is_test is None else is_test
     return _encode(feats).withColumn("log_price", F.log("price_kr")).withColumn("is_test", flag).select(
         "model", "district", "coarse", "fold_fine", "log_price", "is_test",
@@ -66,16 +67,13 @@ def score_listings(
     a model, or without an area, are dropped. ``sold`` needs an order column ``pos``."""
     models = models or train_models(sold, is_test)
     labelled = sold.select("lat", "lon", "pos", tx.coarse_district("area").alias("label"))
-    routed = nearest_label_vote(onsale, labelled)
-    region = F.when(
-        F.col("stadsdel_resolved").isNotNull(), tx.region_of_district("stadsdel_resolved")
-    ).otherwise(tx.region_of("area"))
+    scorable = onsale.where(F.col("bostadstyp").isin(MODELLED_TYPES))
+    routed = nearest_label_vote(scorable, labelled).withColumn("coarse", tx.coarse_district("area"))
+    region = tx.region_of_district(F.coalesce("stadsdel_resolved", "coarse"))
     routed = routed.withColumn("region", region).withColumn(
         "model", model_key(F.col("bostadstyp"), F.col("region"))
     )
-    feats = _encode(
-        features.featurize(routed.where(F.col("model").isNotNull())), F.col("stadsdel_resolved")
-    )
+    feats = _encode(features.featurize(routed), F.col("stadsdel_resolved"))
     scored = hedonic.predict(models, feats)
     tiers = liquidity_tiers(sold.withColumn("stadsdel", tx.coarse_district("area")))
     mape = models.metrics.select("model", F.round("mape_pct", 1).alias("model_mape_pct"))

@@ -26,14 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder for a table written by a job."""
     import uuid
 
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Nothing upstream is recomputed when an executor is lost, and — unlike a checkpointed
+    RDD — the table has size statistics, so Spark broadcasts it only when it really is
+    small and shuffles otherwise.
+    """
+    spark = df.sparkSession
+    path = new_run_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
