@@ -10,6 +10,10 @@ from pricelens.operators.quantiles import quantiles_of_counts
 from pricelens.session import cut_lineage
 
 GLOBAL = "*"
+RAW_FEATURES = [
+    "log_m2", "byggar_decade", "vaning_eff", "hiss_known", "log_avgift", "log_belaning",
+    "is_house", "is_tomratt_f", "is_oakta", "is_aganderatt", "is_andel",
+]
 
 
 def _optional(df: DataFrame, name: str, dtype: str) -> Column:

@@ -52,34 +52,42 @@ def _moments(stats: DataFrame, models: DataFrame, keys: list[str], xs: list[str]
     joined = stats.join(models, keys)
     n = F.col("n")
     is_ref = F.col("level") == F.col("ref_level")
+    zero = F.lit(0.0)
+    means = {c: F.col(f"mean_{c}") for c in ("y", *xs)}
+    joined = joined.select(
+        "*", is_ref.alias("is_ref"), *[(F.col(f"s_{c}") / n).alias(f"mean_{c}") for c in ("y", *xs)]
+    )
 
-    def mean(c: str) -> Column:
-        return F.col(f"s_{c}") / n
+    def ref(c: Column) -> Column:
+        return F.when(F.col("is_ref"), c).otherwise(zero)
 
     def others(c: Column) -> Column:
-        return F.sum(F.when(~is_ref, c).otherwise(F.lit(0.0)))
-
-    aggs = [
-        F.sum("n").alias("n"),
-        F.count_if(~is_ref).alias("g"),
-        F.count_if(is_ref).alias("has_ref"),
-        F.max(F.when(is_ref, mean("y"))).alias("ref_y"),
-        others(mean("y")).alias("o_y"),
-    ]
+        return F.when(F.col("is_ref"), zero).otherwise(c)
+
+    parts = {
+        "n": n.cast("double"),
+        "g": others(F.lit(1.0)),
+        "has_ref": ref(F.lit(1.0)),
+        "ref_y": ref(means["y"]),
+        "o_y": others(means["y"]),
+    }
     for x in xs:
-        aggs += [
-            F.sum(F.col(f"xy_{x}") - F.col(f"s_{x}") * F.col("s_y") / n).alias(f"w_{x}"),
-            F.max(F.when(is_ref, mean(x))).alias(f"ref_{x}"),
-            others(mean(x)).alias(f"o_{x}"),
-            others(mean(x) * mean("y")).alias(f"oy_{x}"),
-        ]
+        parts[f"w_{x}"] = F.col(f"xy_{x}") - means[x] * F.col("s_y")
+        parts[f"ref_{x}"] = ref(means[x])
+        parts[f"o_{x}"] = others(means[x])
+        parts[f"oy_{x}"] = others(means[x] * means["y"])
     for a, b in pairs:
-        aggs += [
-            F.sum(F.col(f"xx_{a}__{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n).alias(f"W_{a}__{b}"),
-            F.sum(f"xx_{a}__{b}").alias(f"T_{a}__{b}"),
-            others(mean(a) * mean(b)).alias(f"O_{a}__{b}"),
-        ]
-    return [r.asDict() for r in joined.groupBy(*keys).agg(*aggs).collect()]
+        parts[f"W_{a}__{b}"] = F.col(f"xx_{a}__{b}") - means[a] * F.col(f"s_{b}")
+        parts[f"T_{a}__{b}"] = F.col(f"xx_{a}__{b}")
+        parts[f"O_{a}__{b}"] = others(means[a] * means[b])
+    # One vector per level, summed entry by entry: one small aggregation however many entries.
+    entries = joined.select(*keys, F.posexplode(F.array(*parts.values())).alias("at", "v"))
+    names = list(parts)
+    found: dict[tuple, dict] = {}
+    for r in entries.groupBy(*keys, "at").agg(F.sum("v").alias("v")).collect():
+        key = tuple(r[k] for k in keys)
+        found.setdefault(key, dict(zip(keys, key)))[names[r["at"]]] = r["v"]
+    return list(found.values())
 
 
 def _symmetric(m: dict, prefix: str, xs: list[str], every: list[str]) -> np.ndarray:

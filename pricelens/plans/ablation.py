@@ -87,10 +87,10 @@ def sweep(sold: DataFrame, is_test: Column | None = None) -> tuple[DataFrame, Da
                 ),
             )
         )
-    rows = feats.drop("model", "district", "fold_fine").withColumn(
-        "m", F.explode(F.array_compact(F.array(*member)))
-    ).select("*", "m.*")
-    fitted = hedonic.train(rows.drop("m"), fv.ASSOCIATION_FEATURES, FEATURE_SETS)
+    rows = feats.withColumn("m", F.explode(F.array_compact(F.array(*member)))).select(
+        "m.*", "coarse", "log_price", "is_test", *features.RAW_FEATURES
+    )
+    fitted = hedonic.train(rows, fv.ASSOCIATION_FEATURES, FEATURE_SETS)
     pairs = [(c, s, f) for c, sets in config_sets().items() for s, f in sets]
     configs = sold.sparkSession.createDataFrame(pairs, "config string, model string, feature_set string")
     metrics = fitted.metrics.join(F.broadcast(configs), ["model", "feature_set"])  # 16 rows

@@ -1,8 +1,8 @@
 """Training, holdout metrics and prediction of all hedonic models in one pass each.
 
 A *model* is a value of the ``model`` column, so four or fifty models cost the same scans.
-The source is read once per pass (level counts, medians, sums, holdout errors); each pass
-reduces to tables with one row per level, which are checkpointed and small.
+The source is read once into a narrow feature table. Each pass over that table (level
+counts, medians, sums, holdout errors) reduces to tables with one row per level.
 """
 
 from __future__ import annotations
@@ -62,6 +62,8 @@ def train(
     """``rows``: featurized training rows with ``model, district, coarse, fold_fine,
     log_price, is_test``. Levels and medians come from all rows, the holdout fit from the
     rows outside the test set, the final fit from all."""
+    # Four passes follow: they read this narrow table instead of parsing the source again.
+    rows = cut_lineage(rows, "features")
     mapping = cut_lineage(
         level_map(rows, KEYS, "district", "coarse", fine_min, rare_min, fold_fine="fold_fine")
     )

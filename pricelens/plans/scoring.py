@@ -44,9 +44,7 @@ def training_rows(sold: DataFrame, is_test: Column | None = None) -> DataFrame:
     feats = features.featurize(usable)
     flag = hedonic.holdout_flag(F.col("listing_id")) if is_test is None else is_test
     return _encode(feats).withColumn("log_price", F.log("price_kr")).withColumn("is_test", flag).select(
-        "model", "district", "coarse", "fold_fine", "log_price", "is_test",
-        "log_m2", "byggar_decade", "vaning_eff", "hiss_known", "log_avgift", "log_belaning",
-        "is_house", "is_tomratt_f", "is_oakta", "is_aganderatt", "is_andel",
+        "model", "district", "coarse", "fold_fine", "log_price", "is_test", *features.RAW_FEATURES
     )
 
 
