@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.sources.readers import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -38,10 +40,14 @@ def plain(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-def adapt(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Adapter text as Spark reads it, over the driver tables it names."""
+def adapt(spark: SparkSession, sf_dir: str, text: str, heavy: str | None = None) -> DataFrame:
+    """Adapter text as Spark reads it, over the driver tables it names. ``heavy`` names the
+    table whose rows get costly per-row work and should use every core."""
     names = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    if heavy:
+        tables[heavy] = spread(tables[heavy])
+    return spark.sql(text, **tables)
 
 
 def ymd(c: Column | str) -> Column:

@@ -291,7 +291,7 @@ ONSALE = """
 
 @query("hedonic_score")
 def hedonic_score(spark, sf):
-    scored = scoring.score_listings(adapt(spark, sf, ONSALE), adapt(spark, sf, SOLD))
+    scored = scoring.score_listings(adapt(spark, sf, ONSALE, "orders"), adapt(spark, sf, SOLD, "lineitem"))
     return scored.select(
         "listing_id", "predicted_price_kr", "deal_pct", "region", "is_tomratt", "model_key", "model_mape_pct", "stadsdel_resolved", "stadsdel_liquidity"
     )
@@ -299,9 +299,9 @@ def hedonic_score(spark, sf):
 
 @query("hedonic_metrics")
 def hedonic_metrics(spark, sf):
-    return scoring.train_models(adapt(spark, sf, SOLD)).metrics
+    return scoring.train_models(adapt(spark, sf, SOLD, "lineitem")).metrics
 
 
 @query("hedonic_sweep")
 def hedonic_sweep(spark, sf):
-    return ablation.sweep(adapt(spark, sf, SOLD))[1]
+    return ablation.sweep(adapt(spark, sf, SOLD, "lineitem"))[1]

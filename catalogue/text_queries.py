@@ -10,6 +10,7 @@ from catalogue.common import (
 from pricelens import fixed_values as fv
 from pricelens.functions import text as tx
 from pricelens.operators import association, cards, detail
+from pricelens.sources.readers import spread
 
 NL = "chr(10)"
 
@@ -45,7 +46,7 @@ SOLD_CARDS = f"""
        FROM ({LISTING_BASE}) b""",
 )
 def card_parse_roundtrip_sold(spark, sf):
-    parsed = cards.parse_cards(adapt(spark, sf, SOLD_CARDS))
+    parsed = cards.parse_cards(adapt(spark, sf, SOLD_CARDS, "orders"))
     return parsed.select(
         "listing_id", "address", "area", ymd("sold_on").alias("sold_on"), "m2", "rooms", "fee_kr", "price_kr",
         "kr_per_m2", F.coalesce("price_diff_pct", F.lit(-99)).alias("price_diff_pct"), joined("tags").alias("tags"),
@@ -91,7 +92,7 @@ ONSALE_CARDS = f"""
        FROM ({LISTING_BASE}) b WHERE k % 13 <> 0 AND k % 11 <> 0""",
 )
 def card_parse_roundtrip_onsale(spark, sf):
-    parsed = cards.parse_cards(adapt(spark, sf, ONSALE_CARDS))
+    parsed = cards.parse_cards(adapt(spark, sf, ONSALE_CARDS, "orders"))
     none = F.lit(-1)
     return parsed.select(
         "listing_id", "status", text_or("visning").alias("visning"), "address", "area", "asking_price_kr", "m2",
@@ -141,7 +142,7 @@ PANELS = f"""
        FROM ({LISTING_BASE}) b""",
 )
 def panel_parse_roundtrip(spark, sf):
-    pages = adapt(spark, sf, PANELS).select(
+    pages = adapt(spark, sf, PANELS, "orders").select(
         "k", "kind", "body", F.array().cast("array<string>").alias("jsonld"),
         F.array().cast("array<struct<src:string,alt:string>>").alias("imgs"),
     )
@@ -176,7 +177,7 @@ DOC_LINES = r"""
        FROM ({DOC_LINES}) a) b) d""",
 )
 def longest_line(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", cards.card_lines("text").alias("lines"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", cards.card_lines("text").alias("lines"))
     return docs.select("doc_id", text_or(cards.longest_free_line(F.col("lines"))).alias("description"))
 
 
@@ -186,7 +187,7 @@ def longest_line(spark, sf):
        FROM ({DOC_LINES}) a""",
 )
 def last_plain_line(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", cards.card_lines("text").alias("lines"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", cards.card_lines("text").alias("lines"))
     return docs.select("doc_id", text_or(cards.last_plain_line(F.col("lines"), r"(?U)\d|kr|m²|%")).alias("agent"))
 
 
@@ -197,7 +198,7 @@ def last_plain_line(spark, sf):
        ELSE strftime(ts, '%Y-%m-%d') END AS published_at FROM events""",
 )
 def json_first_value(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events").select("event_id", "ts", "props"))
     n = F.col("event_id")
     dated = F.when(n % 3 == 0, "short").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T08:00")))
     listed = F.concat(
@@ -398,7 +399,7 @@ PROBES = f"""
        FROM ({LISTING_BASE}) b""",
 )
 def probe_signals(spark, sf):
-    s = association.probe_signals(adapt(spark, sf, PROBES))
+    s = association.probe_signals(adapt(spark, sf, PROBES, "orders"))
     return s.select(
         "id", text_or("outcome").alias("outcome"), ymd("removed_on").alias("removed_on"), text_or("sold_url").alias("sold_url"),
         F.coalesce("sold_price_kr", F.lit(-1)).alias("sold_price_kr"),
@@ -451,7 +452,7 @@ def photo_order(spark, sf):
         img(hashed("a"), "Bild 12"), img(hashed("b"), "bild 3"), img(hashed("a", "large/"), "bild 1"),
         img(F.lit("https://other.example/x.jpg"), "bild 0"),
     )
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey")).select(
         F.col("o_orderkey").alias("k"), joined(detail.ordered_photos(images, "img.example")).alias("photos")
     )
 

@@ -67,13 +67,20 @@ def longest_free_line(lines: Column, min_chars: int = fv.MIN_DESCRIPTION_CHARS)
     return F.array_max(ranked)["line"]
 
 
+def _settle(df: DataFrame) -> DataFrame:
+    """Fix the columns as they are. A later filter on a parsed column would otherwise be
+    pushed below these projections, with every intermediate expression expanded inside it;
+    filters do not pass a generator."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def _split_address(df: DataFrame) -> DataFrame:
     """lines -> address, area, body. The first line naming a municipality is the area and
     the line before it the address; without one, line 0 is the address."""
     at = _first_index(F.col("lines"), lambda line: F.lower(line).contains("kommun"))
     df = df.withColumn("area_at", F.when(at > 0, at))
     has_area = F.col("area_at").isNotNull()
-    return (
+    return _settle(
         df.withColumn(
             "address", F.get("lines", F.when(has_area, F.col("area_at") - 1).otherwise(0))
         )

@@ -55,6 +55,13 @@ def latest_snapshot(df: DataFrame, preference: Column | None = None) -> DataFram
     return rows.where(preference.eqNullSafe(F.lit(newest["p"]))) if preference is not None else rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for row-heavy work on an input of few splits (a small single file).
+    Inputs with at least as many splits as cores pass unchanged, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def snapshot_days(df: DataFrame) -> DataFrame:
     return df.select("snapshot_date").where("snapshot_date IS NOT NULL").distinct()
 
