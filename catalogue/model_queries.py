@@ -268,23 +268,23 @@ SOLD = """
           concat(CASE WHEN l_suppkey % 4 = 0 THEN concat('Södermalm ', n_name) WHEN l_suppkey % 4 = 1 THEN 'Vasastan' ELSE concat(n_name, ' - ', s_name) END, ', Stockholms kommun') AS area,
           CASE WHEN l_partkey % 10 < 6 THEN 'Lägenhet' WHEN l_partkey % 10 < 8 THEN 'Villa' ELSE 'Radhus' END AS bostadstyp,
           CASE l_partkey % 9 WHEN 0 THEN 'Tomträtt' WHEN 1 THEN 'Äganderätt' ELSE 'Bostadsrätt' END AS upplatelseform,
-          CAST(floor(l_extendedprice * 100) AS BIGINT) AS price_kr, 15 + l_quantity * 2 AS m2, CASE WHEN l_linenumber = 1 THEN 0.0 ELSE NULL END AS boarea_m2,
+          CAST(floor(l_extendedprice * 100) AS BIGINT) AS price_kr, 15 + l_quantity * 2 AS m2, CASE WHEN l_linenumber = 1 THEN 0e0 ELSE NULL END AS boarea_m2,
           CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(1900 + l_partkey % 120 AS INT) END AS byggar, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(l_partkey % 8 AS INT) END AS vaning,
           CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE l_suppkey % 2 = 0 END AS hiss, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST(1000 + l_partkey % 6000 AS BIGINT) END AS avgift_kr_mon,
           CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE CAST(l_partkey % 5000 AS BIGINT) END AS fee_kr, CASE WHEN l_partkey % 11 = 0 THEN false END AS brf_ager_marken,
           CASE WHEN l_partkey % 13 = 0 THEN false END AS brf_akta, CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 9000 END AS brf_belaning_kr_m2,
           CAST(round((l_discount - 0.05) * 100) AS INT) AS price_diff_pct,
-          59.2 + (l_suppkey % 97) / 500.0 + l_partkey / 10000000.0 AS lat, 17.9 + (l_suppkey % 89) / 300.0 + l_orderkey / 100000000.0 AS lon
+          59.2e0 + (l_suppkey % 97) / 500e0 + l_partkey / 1e7 AS lat, 17.9e0 + (l_suppkey % 89) / 300e0 + l_orderkey / 1e8 AS lon
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey) z
 """
 ONSALE = """
   SELECT CAST(o_orderkey AS STRING) AS listing_id, concat('Gatan ', o_orderkey) AS address, concat(n_name, ', Stockholms kommun') AS area,
          CASE o_orderkey % 8 WHEN 7 THEN 'Fritidshus' WHEN 5 THEN 'Villa' WHEN 6 THEN 'Radhus' ELSE 'Lägenhet' END AS bostadstyp, CAST(NULL AS STRING) AS upplatelseform,
-         CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(floor(o_totalprice * 10) AS BIGINT) END AS asking_price_kr, 20.0 + o_custkey % 110 AS m2,
+         CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(floor(o_totalprice * 10) AS BIGINT) END AS asking_price_kr, 20e0 + o_custkey % 110 AS m2,
          CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(1900 + o_orderkey % 120 AS INT) END AS byggar, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 9 AS INT) END AS vaning,
          CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS hiss, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 1000 + o_orderkey % 6000 END AS fee_kr,
          CASE WHEN o_orderkey % 11 = 0 THEN false END AS brf_ager_marken,
-         CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 59.2 + (o_custkey % 97) / 500.0 END AS lat, 17.9 + (o_custkey % 89) / 300.0 AS lon
+         CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 59.2e0 + (o_custkey % 97) / 500e0 END AS lat, 17.9e0 + (o_custkey % 89) / 300e0 AS lon
   FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 """
 

@@ -186,7 +186,11 @@ def nearest_neighbours(
             child = F.broadcast(child)
         # One left join opens the unfinished nodes and passes the finished ones through, and
         # a broadcast join keeps the hash on the probe, so the windows below never reshuffle.
-        match = F.when(F.col("points").isNull(), F.col("node")) == F.col("parent")
+        # Finished rows get a spread-out key that matches nothing, not one common null key.
+        nothing = F.struct(
+            (-1 - F.pmod(F.xxhash64("lat", "lon"), F.lit(1 << 20))).alias("ny"), F.lit(0).cast("bigint").alias("nx")
+        )
+        match = F.when(F.col("points").isNull(), F.col("node")).otherwise(nothing) == F.col("parent")
         for c in cls:
             match = match & (F.col(c) == F.col(f"c_{c}"))
         low, high = metric.bounds(F.col("lat"), F.col("lon"), Box())

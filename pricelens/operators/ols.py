@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.session import cut_lineage
+
 RANK_TOLERANCE = 1e-9
 
 
@@ -228,7 +230,11 @@ def fit(
     effect = F.col("s_y") / F.col("n")
     for x in xs:
         effect = effect - F.col(f"b_{x}") * F.col(f"s_{x}") / F.col("n")
-    effects = stats.join(F.broadcast(coefficients), keys).select(
-        *out_keys, "level", F.col("n").alias("level_n"), effect.alias("effect")
+    # One row per level: written out so that its true size decides how it is joined.
+    effects = cut_lineage(
+        stats.join(F.broadcast(coefficients), keys).select(
+            *out_keys, "level", F.col("n").alias("level_n"), effect.alias("effect")
+        ),
+        "effects",
     )
     return GroupedOls(out_keys, xs, coefficients, effects)

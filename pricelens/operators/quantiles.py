@@ -1,9 +1,10 @@
 """Exact grouped quantiles that never hold a group in one task.
 
-``percentile`` keeps every distinct value of a group in one aggregation buffer. Here the
-values are first counted (map-side combine, shuffled on group *and* value), the counts are
-summed into order-preserving buckets, and only the buckets that hold a wanted rank are
-sorted. A group with a third of all rows is spread over all its values and buckets.
+``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
+first pass only counts rows per order-preserving bucket (combined map-side, a few thousand
+rows leave each task), which tells the bucket of every wanted rank. A second pass keeps
+the rows of those buckets alone — a small fraction — and ranks them. A group with a third
+of all rows costs no more than the others, and the data itself is never shuffled.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from pricelens.session import cut_lineage
 
+BUCKETS_PER_DOUBLING = 4096
 
-def _squeezed(v: Column) -> Column:
-    """Monotone log-like scale, so that outliers do not push all else into one bucket."""
-    return F.signum(v) * F.log1p(F.abs(v))
+
+def _bucket(v: Column) -> Column:
+    """Order-preserving bucket on a signed logarithmic scale; zero has its own."""
+    size = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_DOUBLING) + 1100 * BUCKETS_PER_DOUBLING
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
 
 
 def exact_quantiles(
@@ -24,44 +28,28 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``keys`` (nulls skipped), one column
     per entry of ``probs``, plus the row count ``n``. ``weight`` counts repeated values."""
-    n = F.sum(weight) if weight else F.count("*")
-    hist = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("v"))
-        .agg(n.cast("bigint").alias("c"))
-    )
-    spread = hist.groupBy(*keys).agg(
-        F.sum("c").alias("n"), F.min("v").alias("v0"), F.max("v").alias("v1")
+    v = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, v.alias("v"), _bucket(v).alias("b"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("c")
     )
-    placed = (hist.join(spread, keys) if keys else hist.crossJoin(F.broadcast(spread))).withColumn(
-        "b",
-        F.coalesce(
-            F.floor(
-                (_squeezed(F.col("v")) - _squeezed(F.col("v0")))
-                / F.nullif(_squeezed(F.col("v1")) - _squeezed(F.col("v0")), F.lit(0.0))
-                * BUCKETS
-            ),
-            F.lit(0),
-        ),
-    )
-    running = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        placed.groupBy(*keys, "b", "n")
-        .agg(F.sum("c").alias("bucket_c"))
-        .withColumn("before", F.coalesce(F.sum("bucket_c").over(running), F.lit(0)))
+    counts = rows.groupBy(*keys, "b").agg(F.sum("c").alias("bucket_c"))
+    whole = Window.partitionBy(*keys)
+    running = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("n", F.sum("bucket_c").over(whole)).withColumn(
+        "before", F.coalesce(F.sum("bucket_c").over(running), F.lit(0))
     )
     ranks = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()}
     wanted = F.lit(False)
     for r in ranks.values():
         for rank in (F.floor(r), F.ceil(r)):
             wanted = wanted | ((rank >= F.col("before")) & (rank < F.col("before") + F.col("bucket_c")))
-    targets = buckets.where(wanted).select(*keys, "b", "before")
+    # At most two rows per key and probability.
+    targets = cut_lineage(placed.where(wanted).select(*keys, "b", "before", "n"), "ranks")
+    values = rows.join(targets, [*keys, "b"]).groupBy(*keys, "b", "before", "n", "v").agg(F.sum("c").alias("c"))
     within = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    spans = (
-        placed.join(targets, [*keys, "b"])
-        .withColumn("start", F.col("before") + F.coalesce(F.sum("c").over(within), F.lit(0)))
-        .withColumn("stop", F.col("start") + F.col("c"))
-    )
+    spans = values.withColumn(
+        "start", F.col("before") + F.coalesce(F.sum("c").over(within), F.lit(0))
+    ).withColumn("stop", F.col("start") + F.col("c"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("start")) & (rank < F.col("stop")), F.col("v")))

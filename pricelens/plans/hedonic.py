@@ -69,7 +69,7 @@ def train(
     )
     folded = rows.join(mapping, [*KEYS, "district", "coarse", "fold_fine"])
     medians = cut_lineage(features.level_medians(folded, KEYS))
-    fills = features.fill_values(medians, KEYS, ground_floor_missing)
+    fills = cut_lineage(features.fill_values(medians, KEYS, ground_floor_missing), "fills")
     design = features.training_design(folded, fills, KEYS)
     sums = cut_lineage(ols.level_sums(design, [*KEYS, "is_test"], "level", xs, "log_price"))
     # Both fits from the same sums: test rows count only in the final one.
@@ -84,7 +84,7 @@ def train(
         F.sum(F.when(F.col("is_test"), F.col("n")).otherwise(0)).alias("n_test"),
         F.countDistinct("level").alias("n_levels"),
     )
-    metrics = holdout_metrics(partial, design.where("is_test"), counts)
+    metrics = cut_lineage(holdout_metrics(partial, design.where("is_test"), counts), "metrics")
     levels = mapping.select(*KEYS, "level", "level_n").distinct()
     return Hedonic(levels, medians, fills, full, metrics)
 

@@ -11,6 +11,7 @@ from pricelens.operators import features
 from pricelens.operators.levels import liquidity_tiers, with_liquidity
 from pricelens.operators.nearest import nearest_label_vote
 from pricelens.plans import hedonic
+from pricelens.session import cut_lineage
 
 
 def model_key(bostadstyp: Column, region: Column) -> Column:
@@ -73,7 +74,7 @@ def score_listings(
     )
     feats = _encode(features.featurize(routed), F.col("stadsdel_resolved"))
     scored = hedonic.predict(models, feats)
-    tiers = liquidity_tiers(sold.withColumn("stadsdel", tx.coarse_district("area")))
+    tiers = cut_lineage(liquidity_tiers(sold.withColumn("stadsdel", tx.coarse_district("area"))), "tiers")
     mape = models.metrics.select("model", F.round("mape_pct", 1).alias("model_mape_pct"))
     keep = [c for c in onsale.columns if c not in ("is_tomratt", "region")]
     out = (
