@@ -162,10 +162,10 @@ def backfill_associations(sold: DataFrame, addr_facts: DataFrame, live: DataFram
 
     ``live`` needs the backfill fields and an order (``snapshot_date``, ``pos``).
     """
-    fields = [f for f in fv.BACKFILL_FIELDS]
-    missing = [f for f in fields if f not in addr_facts.columns]
-    for f in missing:
-        addr_facts = addr_facts.withColumn(f, F.lit(None).cast("bigint"))
+    fields = fv.BACKFILL_FIELDS
+    for f in fields:
+        if f not in addr_facts.columns:
+            addr_facts = addr_facts.withColumn(f, F.lit(None).cast(live.schema[f].dataType))
     slugged = live.withColumn("_slug", tx.street_slug("address")).where("_slug IS NOT NULL AND area <> ''")
     best = richest(slugged, ["_slug", "area"], fields, ["snapshot_date", "pos"])
     rows = sold.withColumn("_slug", tx.street_slug("address"))
