@@ -132,19 +132,14 @@ def bands_and_intensity(spark, sf):
 @query(
     "view_order",
     f"""SELECT k AS listing_id, CAST(row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 0 END,
-       CASE WHEN k % 5 = 0 THEN NULL ELSE d END DESC NULLS LAST, k) AS INT) AS place FROM ({LISTING_BASE}) b ORDER BY place LIMIT 100""",
+       CASE WHEN k % 5 = 0 THEN NULL ELSE d END DESC NULLS LAST, k) AS BIGINT) AS place FROM ({LISTING_BASE}) b""",
 )
 def view_order(spark, sf):
     rows = adapt(spark, sf, LISTING_BASE).select(
         F.col("k").alias("listing_id"), F.when(F.col("k") % 5 != 0, F.col("d")).alias("published_at"),
         F.when(F.col("o_orderstatus") == "O", "sold").when(F.col("o_orderstatus") == "P", "withdrawn").otherwise("onsale").alias("status"),
     )
-    # The first page of the view: the order is a top-k, numbered afterwards.
-    page = views.view_order(rows).limit(100)
-    from pyspark.sql import Window
-
-    order = Window.orderBy(views.status_rank(F.col("status")), F.col("published_at").desc_nulls_last(), "listing_id")
-    return page.select("listing_id", F.row_number().over(order).alias("place"))
+    return views.view_places(rows).select("listing_id", "place")
 
 
 GONE = f"""

@@ -119,3 +119,11 @@ def test_unknown_types_pass_only_with_every_group(spark):
 def test_declared_schemas_parse(spark):
     for name in (n for n in dir(schemas) if n.isupper()):
         assert spark.createDataFrame([], getattr(schemas, name)).columns
+
+
+def test_places_follow_the_view_order(spark):
+    rows = [("a", "sold", date(2026, 5, 2)), ("b", "onsale", None), ("c", "onsale", date(2026, 5, 1)), ("d", "kommande", date(2026, 5, 3)), ("e", None, date(2026, 5, 1)), ("f", "withdrawn", None)]
+    df = spark.createDataFrame(rows, "listing_id string, status string, published_at date")
+    ordered = [r.listing_id for r in views.view_order(df).collect()]
+    assert ordered == ["d", "c", "e", "b", "a", "f"]
+    assert [r.listing_id for r in views.view_places(df).orderBy("place").collect()] == ordered
