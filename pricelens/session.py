@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,25 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (a laptop or a test run) is a local folder made.
+    A session that names none gets a folder in its warehouse, which the driver and the executors
+    share as well. No machine-local temporary folder is ever used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="pricelens-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder for a table written by a job."""
-    import uuid
-
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
