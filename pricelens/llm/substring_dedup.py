@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm import words as W
-from pricelens.llm.tables import repeated_only, same_row, with_row_key, written
+from pricelens.llm.repeats import Keyed, repeated_places
+from pricelens.llm.tables import same_row, with_row_key, written
 
 #: Windows of at least this many words before the first doubling.
 FIRST_LENGTH = 16
@@ -36,68 +37,55 @@ def lengths_to(window: int, first: int = FIRST_LENGTH) -> list[int]:
 
 
 def _keys(length: int, window: int, before: int):
-    """Task function: candidate windows of ``length`` words, those near the places in ``starts``
-    that survived at ``before`` words (0: all)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hashes = batch.column("doc_id"), batch.column("row_hash")
+    """Candidate windows of ``length`` words: those near the places that repeated at ``before``
+    words (0: all)."""
+
+    def keys_of(batch: pa.RecordBatch) -> Iterator[Keyed]:
+        if before:
+            held, at = W.listed(batch.column("places"))
+            spans, _ = W.listed(batch.column("spans"))
+        for lo, hi, b, offsets in W.slices(batch.column("text")):
+            starts, stops, firsts = W.word_spans(b, offsets)
+            n = len(starts)
+            if n < length:
+                continue
+            words = W.word_hashes(b, starts, stops)
+            places = np.arange(n - length + 1)
+            values = np.zeros(n, np.uint64)
+            values[: len(places)] = W.word_windows(words, places, length)
+            rows = W.row_of(firsts, n)
+            if length < window:
+                picked = W.anchors(values, firsts, length, window)
+            else:
+                picked = np.flatnonzero(np.arange(n) + length <= firsts[1:][rows])
             if before:
-                held, at = W.listed(batch.column("starts"))
-            for lo, hi, b, offsets in W.slices(batch.column("text")):
-                starts, stops, firsts = W.word_spans(b, offsets)
-                n = len(starts)
-                if n < length:
-                    continue
-                words = W.word_hashes(b, starts, stops)
-                places = np.arange(n - length + 1)
-                first = np.zeros(n, np.uint64)
-                first[: len(places)] = W.word_windows(words, places, length)
-                rows = W.row_of(firsts, n)
-                if before:
-                    owner = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
-                    seen = held[at[lo] : at[hi]] + firsts[owner]
-                    reach = window - before if length < window else length - before
-                    left = np.maximum(seen - reach, firsts[owner])
-                    right = seen + (reach if length < window else 0) + 1
-                    near = W.fill_spans(n, left, right - left)
-                if length < window:
-                    picked = W.anchors(first, firsts, length, window)
-                else:
-                    picked = np.flatnonzero(np.arange(n) + length <= firsts[1:][rows])
-                if before:
-                    picked = picked[near[picked]]
-                if not len(picked):
-                    continue
-                out_rows = rows[picked]
-                take = pa.array(out_rows + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(first[picked].view(np.int64)),
-                        pa.array((W.word_windows(words, picked, length, second=True) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        ids.take(take),
-                        hashes.take(take),
-                        pa.array((picked - firsts[out_rows]).astype(np.int32)),
-                    ],
-                    names=["key", "key2", "doc_id", "row_hash", "place"],
-                )
-
-    return run
+                # Windows that hold a surviving place; before the last length, all that such windows hold.
+                owner = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+                seen, run = held[at[lo] : at[hi]] + firsts[owner], spans[at[lo] : at[hi]]
+                left = np.maximum(seen - (window - before), firsts[owner])
+                right = seen + run + (window - before if length < window else 0)
+                picked = picked[W.fill_spans(n, left, right - left)[picked]]
+            if not len(picked):
+                continue
+            if length < window:
+                second = np.zeros(len(picked), np.int32)
+            else:
+                second = (W.word_windows(words, picked, length, second=True) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield values[picked], second, rows[picked] + lo, picked - firsts[rows[picked]]
+
+    return keys_of
 
 
 def repeated_windows(docs: DataFrame, window: int = 35, lengths: list[int] | None = None) -> DataFrame:
-    """(doc_id, row_hash, starts): the word numbers at which a window of ``window`` words starts
-    whose words also start anywhere else. docs needs doc_id, row_hash and text."""
+    """(doc_id, row_hash, places, spans): runs of word numbers at which a window of ``window`` words
+    starts whose words also start anywhere else. docs needs doc_id, row_hash and text."""
     texts = docs.select("doc_id", "row_hash", "text")
-    schema = f"key long, key2 int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_hash long, place int"
     found, before = None, 0
     for length in lengths or lengths_to(window):
         rows = texts
         if found is not None:
-            rows = texts.join(found, same_row(texts, found)).select(texts["*"], "starts")
-        keys = rows.mapInArrow(_keys(length, window, before), schema)
-        again = repeated_only(keys, ["key", "key2"])
-        found = written(again.groupBy("doc_id", "row_hash").agg(F.collect_set("place").alias("starts")), f"repeats{length}")
+            rows = texts.join(found, same_row(texts, found)).select(texts["*"], "places", "spans")
+        found = written(repeated_places(rows, _keys(length, window, before)), f"repeats{length}")
         before = length
     return found
 
@@ -105,15 +93,16 @@ def repeated_windows(docs: DataFrame, window: int = 35, lengths: list[int] | Non
 def _digest(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, at = W.listed(batch.column("starts"))
+            held, at = W.listed(batch.column("places"))
+            spans, _ = W.listed(batch.column("spans"))
             sizes, removed, digests = [], [], []
             texts = batch.column("text").cast(pa.binary())
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or b"").split()
-                starts = held[at[i] : at[i + 1]]
+                starts, run = held[at[i] : at[i + 1]], spans[at[i] : at[i + 1]]
                 sizes.append(len(words))
                 if len(starts):
-                    gone = W.fill_spans(len(words), starts, window)
+                    gone = W.fill_spans(len(words), starts, run + (window - 1))
                     removed.append(int(gone.sum()))
                     words = [words[j] for j in np.flatnonzero(~gone)]
                 else:
@@ -130,17 +119,18 @@ def _digest(window: int):
 def _strip(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, at = W.listed(batch.column("starts"))
+            held, at = W.listed(batch.column("places"))
+            spans, _ = W.listed(batch.column("spans"))
             column = batch.column("text")
-            texts, gone_all = [], []
+            texts, empty = [], []
             for i in range(batch.num_rows):
                 text = column[i].as_py()
-                starts = held[at[i] : at[i + 1]]
+                starts, run = held[at[i] : at[i + 1]], spans[at[i] : at[i + 1]]
                 none_left = False
                 if len(starts):
                     b = np.frombuffer(text.encode(), np.uint8)
                     begin, end, _ = W.word_spans(b, np.array([0, len(b)]))
-                    gone = W.fill_spans(len(begin), starts, window)
+                    gone = W.fill_spans(len(begin), starts, run + (window - 1))
                     none_left = bool(gone.all())
                     upto = np.append(begin[1:], len(b))
                     drop = np.zeros(len(b) + 1, np.int64)
@@ -148,10 +138,10 @@ def _strip(window: int):
                     np.add.at(drop, upto[gone], -1)
                     text = b[np.cumsum(drop)[:-1] == 0].tobytes().decode()
                 texts.append(text)
-                gone_all.append(none_left)
+                empty.append(none_left)
             names = batch.schema.names
-            arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names if n != "starts"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone_all)], names=[*(n for n in names if n != "starts"), "none_left"])
+            arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names if n not in ("places", "spans")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(empty, pa.bool_())], names=[*(n for n in names if n not in ("places", "spans")), "none_left"])
 
     return run
 
@@ -160,7 +150,7 @@ def digest(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by a space."""
     docs = with_row_key(docs.select("doc_id", "text"))
     found = repeated_windows(docs, window)
-    rows = docs.join(found, same_row(docs, found), "left").select(docs["doc_id"], "text", "starts")
+    rows = docs.join(found, same_row(docs, found), "left").select(docs["doc_id"], "text", "places", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_digest(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
@@ -172,7 +162,7 @@ def strip_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     columns = docs.columns
     keyed = with_row_key(docs.select("doc_id", "text", F.struct(*[c for c in columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("rest")))
     found = repeated_windows(keyed, window)
-    rows = keyed.join(found, same_row(keyed, found), "left").select(keyed["doc_id"], "text", "rest", "starts")
+    rows = keyed.join(found, same_row(keyed, found), "left").select(keyed["doc_id"], "text", "rest", "places", "spans")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     out = rows.mapInArrow(_strip(window), f"doc_id {kinds['doc_id']}, text string, rest {kinds['rest']}, none_left boolean")
     out = out.where("not none_left").select(*[c if c in ("doc_id", "text") else f"rest.{c}" for c in columns])

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelens.llm import words as W
-from pricelens.llm.tables import repeated_only, same_row, with_row_key, written
+from pricelens.llm.repeats import Keyed, repeated_places
+from pricelens.llm.tables import same_row, with_row_key, written
 
 SEED = 64
 BLOCK_CLIPS = 20_000
@@ -45,20 +46,15 @@ def _seeds(b: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray,
     return values, W.anchors(values, offsets, SEED, window), sums
 
 
-def _anchor_rows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, b, offsets in W.slices(batch.column("text")):
-                values, picked, _ = _seeds(b, offsets, window)
-                if not len(picked):
-                    continue
-                take = pa.array(np.searchsorted(offsets, picked, side="right") - 1 + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[picked].view(np.int64)), batch.column("doc_id").take(take), batch.column("row_hash").take(take)],
-                    names=["anchor", "doc_id", "row_hash"],
-                )
+def _anchor_keys(window: int):
+    def keys_of(batch: pa.RecordBatch) -> Iterator[Keyed]:
+        for lo, _, b, offsets in W.slices(batch.column("text")):
+            values, picked, _ = _seeds(b, offsets, window)
+            if len(picked):
+                rows = np.searchsorted(offsets, picked, side="right") - 1
+                yield values[picked], np.zeros(len(picked), np.int32), rows + lo, picked - offsets[rows]
 
-    return run
+    return keys_of
 
 
 def _owners(values: np.ndarray, picked: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +76,16 @@ def _clip_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, at = W.listed(batch.column("anchors"))
+            held, at = W.listed(batch.column("places"))
+            spans, _ = W.listed(batch.column("spans"))
             for lo, hi, b, offsets in W.slices(batch.column("text")):
                 values, picked, sums = _seeds(b, offsets, window)
                 if not len(picked):
                     continue
                 starts, owner = _owners(values, picked, offsets, window)
-                wanted = np.isin(values[picked].view(np.int64), np.unique(held[at[lo] : at[hi]]))
-                mine = wanted[owner]
+                row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+                wanted = W.fill_spans(len(b), held[at[lo] : at[hi]] + offsets[row], spans[at[lo] : at[hi]])
+                mine = wanted[picked[owner]]
                 starts, owner = starts[mine], owner[mine]
                 if not len(starts):
                     continue
@@ -216,9 +214,8 @@ def repeated_strings(docs: DataFrame, window: int = 200, block_clips: int = BLOC
     anywhere else. docs needs doc_id, row_hash and text."""
     texts = docs.select("doc_id", "row_hash", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    seeds = texts.mapInArrow(_anchor_rows(window), f"anchor long, doc_id {kind}, row_hash long")
-    anchors = written(repeated_only(seeds, ["anchor"]).groupBy("doc_id", "row_hash").agg(F.collect_set("anchor").alias("anchors")), "anchors")
-    rows = texts.join(anchors, same_row(texts, anchors)).select(texts["*"], "anchors")
+    anchors = written(repeated_places(texts, _anchor_keys(window)), "anchors")
+    rows = texts.join(anchors, same_row(texts, anchors)).select(texts["*"], "places", "spans")
     clips = written(
         rows.mapInArrow(_clip_rows(window), f"anchor long, clip1 long, clip2 long, lead int, clip binary, doc_id {kind}, row_hash long, place int"),
         "clips",

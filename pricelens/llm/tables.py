@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def let_go(spark: SparkSession) -> None:
     """Spark deletes the shuffle files of plans that the driver no longer refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def with_row_key(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -38,10 +41,3 @@ def with_row_key(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_hash"] == b["row_hash"])
-
-
-def repeated_only(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key values occur more than once: partial counts, then an equi-join, whose
-    large partitions Spark splits when one key holds many rows."""
-    often = df.groupBy(*keys).count().where("count > 1").drop("count")
-    return df.join(often, keys, "left_semi")
