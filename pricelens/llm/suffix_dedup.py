@@ -60,7 +60,7 @@ def _anchor_keys(window: int):
 def _owners(values: np.ndarray, picked: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the whole windows of all rows, and for each the first anchor with its smallest seed."""
     n = len(values)
-    rows = np.searchsorted(offsets, np.arange(n), side="right") - 1
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     starts = np.flatnonzero(np.arange(n) + window <= offsets[rows + 1])
     lows = W.sliding(values, window - SEED + 1, np.minimum)[starts]
     marks = np.zeros(n, np.int64)
