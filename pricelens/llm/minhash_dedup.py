@@ -4,9 +4,10 @@ Rows with the same shingle set are one class, named by its least doc_id, and onl
 compared. ``ROWS * BANDS`` minima of a class make ``BANDS`` band keys: two sets of similarity 0.85
 share none with probability (1 - 0.85**5)**30 = 2e-8. Classes with a band in common are
 candidates. First every class is compared with the least class of each of its bands; of what
-that leaves in different components, all pairs of a band whose signatures agree enough are
-compared (in blocks, so that no band, however large, is gathered). An exact comparison of the
-full sets confirms each link. What is inside one component already is not compared again, so the
+that leaves in different components, the pairs of a band whose signatures agree enough are
+compared inside the task that holds both, each pair in the first band it shares (in blocks, so
+that no band, however large, is gathered, and only links leave the task). An exact comparison
+of the full sets confirms each link. What is inside one component already is not compared again, so the
 components come out as if all pairs had been.
 
 Defined cases: null text and texts without words have an empty set and are linked with nothing;
@@ -31,7 +32,7 @@ from pricelens.llm.tables import written
 SHINGLE = 5
 ROWS, BANDS = 5, 30
 #: Classes of one band key that are compared with each other in one task.
-BLOCK_CLASSES = 1000
+BLOCK_CLASSES = 500
 #: Signatures of sets of similarity 0.85 agree in 150 places by 0.85 +- 0.03; 0.7 is five deviations lower.
 AGREE_MARGIN = 0.15
 
@@ -92,52 +93,62 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirm(percent: int):
-    """Over pairs with both texts: those with 100 * shared >= percent * union."""
+def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for _, _, b, offsets in W.slices(column):
+        values, at = shingles(b, offsets)
+        out += [np.unique(values[i:j]) for i, j in zip(at[:-1], at[1:])]
+    return out
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * shared >= percent * union, on full sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both) > 0
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, _, b, offsets in W.slices(column):
-            values, at = shingles(b, offsets)
-            out += [np.unique(values[i:j]) for i, j in zip(at[:-1], at[1:])]
-        return out
+
+def _confirm(percent: int):
+    """Over pairs with both texts: those that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                left, right = sets(part.column("text_a")), sets(part.column("text_b"))
-                keep = []
-                for x, y in zip(left, right):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - both
-                    keep.append(union > 0 and 100 * both >= percent * union)
+                keep = [_linked(x, y, percent) for x, y in zip(_sets(part.column("text_a")), _sets(part.column("text_b")))]
                 yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def _alike(least: float):
-    """Over the classes of one block pair of a band key: pairs of different components whose
-    signatures agree in at least ``least`` of their places."""
+def _links_of_block(percent: int):
+    """Over the classes of one block pair of a band key: the links between classes of different
+    components. A pair is looked at in the first band it shares, and its full sets are compared
+    if the signatures agree enough."""
+    least = max(percent / 100 - AGREE_MARGIN, 0.0)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = np.asarray(table.column("rep")), np.asarray(table.column("component"))
-        sides = np.asarray(table.column("side"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left = np.flatnonzero(sides != 1)
-        right = np.flatnonzero(sides != 0)
-        found_a, found_b = [], []
+        ids, comp, sides = (np.asarray(table.column(n)) for n in ("rep", "component", "side"))
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = W.listed(table.column("bands"))[0].reshape(len(ids), -1)
+        here = table.column("bands_at")[0].as_py()
+        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        sets: dict[int, np.ndarray] = {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _sets(table.column("text").slice(i, 1))[0]
+            return sets[i]
+
+        links = set()
         for i in left:
-            others = right[(comp[right] != comp[i])]
-            if len(others):
-                hit = others[(sig[others] == sig[i]).mean(axis=1) >= least]
-                found_a.append(np.minimum(ids[hit], ids[i]))
-                found_b.append(np.maximum(ids[hit], ids[i]))
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+            others = right[comp[right] != comp[i]]
+            others = others[(signature[others] == signature[i]).mean(axis=1) >= least]
+            for j in others[np.argmax(bands[others] == bands[i], axis=1) == here]:
+                if _linked(full(i), full(j), percent):
+                    links.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
@@ -158,7 +169,7 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = linked.join(classes, ["n_shingles", "set1", "set2"])
     copies = named.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = named.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "bands", "signature")
-    keyed = written(reps.select("rep", F.explode("bands").alias("band")), "bands")
+    keyed = written(reps.select("rep", F.posexplode("bands").alias("bands_at", "band")), "bands")
     centres = keyed.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
     shared = written(keyed.join(centres, "band"), "shared")
     stars = shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
@@ -167,23 +178,21 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = _confirmed(stars, texts, percent)
     so_far = components(links)
 
-    # Bands whose classes are not all in one component yet.
+    # Bands whose classes are not all in one component yet; a pair's first shared band is among them.
     placed = shared.join(so_far, shared["rep"] == so_far["node"], "left").select(
-        "band", "rep", "members", F.coalesce("component", "rep").alias("component")
+        "band", "bands_at", "rep", "members", F.coalesce("component", "rep").alias("component")
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    placed = placed.join(mixed, "band").join(reps.select("rep", "signature"), "rep")
-    blocks = F.ceil(F.col("members") / BLOCK_CLASSES).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("mine", mine)
+    placed = placed.join(mixed, "band").join(reps, "rep").join(texts, "rep")
+    placed = placed.withColumn("blocks", F.ceil(F.col("members") / BLOCK_CLASSES).cast("int"))
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "rep", "component", "signature",
+        "band", "bands_at", "rep", "component", "signature", "bands", "text",
         F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    least = max(percent / 100 - AGREE_MARGIN, 0.0)
-    more = written(dealt.groupBy("band", "first", "second").applyInArrow(_alike(least), "a long, b long").distinct(), "alike")
-    links = links.union(_confirmed(more, texts, percent))
+    more = written(dealt.groupBy("band", "first", "second").applyInArrow(_links_of_block(percent), "a long, b long"), "more")
+    links = links.union(more)
     found = components(links.union(copies))
     return signed.join(found, signed["doc_id"] == found["node"], "left").select(
         "doc_id",
