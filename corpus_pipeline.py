@@ -6,19 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelens.llm import substring_dedup
+from pricelens.llm import decontamination, language_id, minhash_dedup, source_mix, substring_dedup
 from pricelens.llm.tables import written
 
 
-def strip_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.keep_one(docs)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.strip_repeats(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return source_mix.mix(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("substring_dedup", strip_passages),
+    ("language_id", known_language),
+    ("minhash_dedup", one_of_near_copies),
+    ("substring_dedup", without_passages),
+    ("decontamination", without_benchmark),
+    ("source_mix", mixed),
 ]
 
-#: Language ID and near-duplicate search have no SQL form.
+#: Language ID and near-copy search have no SQL form.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelens.llm import chat_format, decontamination, minhash_dedup, source_mix, substring_dedup, suffix_dedup
+from pricelens.llm import (
+    chat_format,
+    decontamination,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    quality_rules,
+    source_mix,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +69,23 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_source_mix"] = source_mix.ORACLE
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
