@@ -155,7 +155,7 @@ def _links_of_block(percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     a, b = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed", big=True)
 
 
 def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -165,16 +165,16 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
         docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, signature binary"), "signatures"
     )
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(linked.groupBy("n_shingles", "set1", "set2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(linked.groupBy("n_shingles", "set1", "set2").agg(F.min("doc_id").alias("rep")), "classes", big=True)
     named = linked.join(classes, ["n_shingles", "set1", "set2"])
     copies = named.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = named.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "bands", "signature")
     keyed = written(reps.select("rep", F.posexplode("bands").alias("bands_at", "band")), "bands")
     centres = keyed.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    shared = written(keyed.join(centres, "band"), "shared")
+    shared = written(keyed.join(centres, "band"), "shared", big=True)
     stars = shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = shared.select("rep").distinct()
-    texts = written(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
+    texts = written(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text").dropDuplicates(["rep"]), "texts", big=True)
     links = _confirmed(stars, texts, percent)
     so_far = components(links)
 
@@ -191,7 +191,7 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"),
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    more = written(dealt.groupBy("band", "first", "second").applyInArrow(_links_of_block(percent), "a long, b long"), "more")
+    more = written(dealt.groupBy("band", "first", "second").applyInArrow(_links_of_block(percent), "a long, b long"), "more", big=True)
     links = links.union(more)
     found = components(links.union(copies))
     return signed.join(found, signed["doc_id"] == found["node"], "left").select(

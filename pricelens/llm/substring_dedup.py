@@ -85,7 +85,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, lengths: list[int] | Non
         rows = texts
         if found is not None:
             rows = texts.join(found, same_row(texts, found)).select(texts["*"], "places", "spans")
-        found = written(repeated_places(rows, _keys(length, window, before)), f"repeats{length}")
+        found = written(repeated_places(rows, _keys(length, window, before)), f"repeats{length}", big=True)
         before = length
     return found
 

@@ -214,15 +214,17 @@ def repeated_strings(docs: DataFrame, window: int = 200, block_clips: int = BLOC
     anywhere else. docs needs doc_id, row_hash and text."""
     texts = docs.select("doc_id", "row_hash", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    anchors = written(repeated_places(texts, _anchor_keys(window)), "anchors")
+    anchors = written(repeated_places(texts, _anchor_keys(window)), "anchors", big=True)
     rows = texts.join(anchors, same_row(texts, anchors)).select(texts["*"], "places", "spans")
     clips = written(
         rows.mapInArrow(_clip_rows(window), f"anchor long, clip1 long, clip2 long, lead int, clip binary, doc_id {kind}, row_hash long, place int"),
         "clips",
+        big=True,
     )
     different = written(
         clips.groupBy("anchor", "clip1", "clip2").agg(F.first("lead").alias("lead"), F.first("clip").alias("clip"), F.count("*").alias("copies")),
         "different",
+        big=True,
     )
     counts = different.groupBy("anchor").agg(F.count("*").alias("n"))
     crowded = written(counts.where(F.col("n") > block_clips).select("anchor"), "crowded")
@@ -237,10 +239,10 @@ def repeated_strings(docs: DataFrame, window: int = 200, block_clips: int = BLOC
     )
     often = windows.groupBy("key", "key2").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
     rest = windows.join(often, ["key", "key2"], "left_semi").groupBy("anchor", "clip1", "clip2").agg(F.collect_list("offset").alias("offsets"))
-    found = written(found.unionByName(rest), "found")
+    found = written(found.unionByName(rest), "found", big=True)
     places = clips.drop("clip").join(found, ["anchor", "clip1", "clip2"])
     starts = F.transform("offsets", lambda x: x + F.col("place"))
-    return written(places.groupBy("doc_id", "row_hash").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("starts")), "starts")
+    return written(places.groupBy("doc_id", "row_hash").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("starts")), "starts", big=True)
 
 
 def _digest(window: int):
@@ -274,6 +276,6 @@ def digest(docs: DataFrame, window: int = 200) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (runs removed), kept_sha256 of the other bytes."""
     docs = with_row_key(docs.select("doc_id", "text"))
     found = repeated_strings(docs, window)
-    rows = docs.join(found, same_row(docs, found), "left").select(docs["doc_id"], "text", "starts")
+    rows = docs.join(found, same_row(docs, found), "left").select(docs["doc_id"], "text", "starts", big=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_digest(window), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

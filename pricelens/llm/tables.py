@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from pricelens.session import new_run_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, big: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the cluster's shared folder, read back.
 
     A lost executor never makes Spark recompute what is upstream of it, and the table has a
-    size Spark can go by. The shuffle files behind it are let go as soon as it is written.
+    size Spark can go by. ``big``: much was shuffled for it, and those files are let go at once.
     """
     spark = df.sparkSession
     path = new_run_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    let_go(spark)
+    if big:
+        let_go(spark)
     return back
 
 
