@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from catalogue.common import adapt, query, table, text_or, ymd, ymd_sql
+from catalogue.common import adapt, query, text_or, ymd, ymd_sql
 from pricelens.operators import ledger
 from pricelens.session import new_run_dir
 from pricelens.streaming.ledger_stream import LedgerStream, snapshot_stream
 
 DAYS = 3  # days until a vanished id counts as withdrawn
 ROWS = """
-  SELECT user_id AS id, concat('u', user_id) AS url, CAST(ts AS DATE) AS snapshot_date, event_id AS pos,
+  SELECT user_id * 10 + length(event_type) AS id, concat('u', user_id * 10 + length(event_type)) AS url, CAST(ts AS DATE) AS snapshot_date, event_id AS pos,
          CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(floor(value / 25) AS BIGINT) END AS asking_price_kr,
          CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS deal_pct, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS m2
-  FROM {events} WHERE event_type = 'purchase'
+  FROM {events}
 """
 
 
@@ -73,20 +75,29 @@ def ledger_advance(spark, sf):
 
 @query("ledger_stream", LEDGER_SQL)
 def ledger_stream(spark, sf):
-    """The same ledger from a stream over the events file."""
-    schema = table(spark, sf, "events").schema
-    events = snapshot_stream(spark, sf, schema, glob="events.parquet")
-    rows = spark.sql(ROWS, events=events)
-    job = LedgerStream(spark, new_run_dir(spark, "ledger"), ["m2"], DAYS)
-    job.start(rows).awaitTermination()
-    return _shown(job.state(0))
+    """The same ledger from a stream: one day comes in two micro-batches, an early day after all others."""
+    root = new_run_dir(spark, "ledger")
+    arriving = os.path.join(root, "in")
+    rows = adapt(spark, sf, ROWS)
+    job = LedgerStream(spark, root, ["m2"], DAYS)
+    day, split, late = F.col("snapshot_date"), F.lit("2024-01-16").cast("date"), F.lit("2024-01-05").cast("date")
+    for part in (
+        (day < split) & (day != late),
+        (day == split) & (F.col("pos") % 2 == 0),
+        (day == split) & (F.col("pos") % 2 == 1),
+        day > split,
+        day == late,
+    ):
+        rows.where(part).write.mode("append").parquet(arriving)
+        job.start(snapshot_stream(spark, arriving, rows.schema)).awaitTermination()
+    return _shown(job.latest())
 
 
 EVIDENCE = """
-  SELECT user_id AS id, CAST(ts AS DATE) AS probe_date, CASE event_id % 3 WHEN 0 THEN 'sold' WHEN 1 THEN 'withdrawn' END AS outcome,
-         CASE WHEN event_id % 2 = 0 OR event_id % 3 = 1 THEN CAST(ts AS DATE) END AS removed_on, CASE WHEN event_id % 3 = 0 THEN concat('s', event_id) END AS sold_url,
-         CASE WHEN event_id % 3 = 0 THEN event_id * 100 END AS sold_price_kr, event_id
-  FROM {events} WHERE event_type = 'error'
+  SELECT user_id * 10 + 4 + event_id % 5 AS id, CAST(ts AS DATE) AS probe_date, CASE event_id % 7 WHEN 0 THEN 'sold' WHEN 1 THEN 'withdrawn' END AS outcome,
+         CASE WHEN event_id % 2 = 0 OR event_id % 7 = 1 THEN CAST(ts AS DATE) END AS removed_on, CASE WHEN event_id % 7 = 0 THEN concat('s', event_id) END AS sold_url,
+         CASE WHEN event_id % 7 = 0 THEN event_id * 100 END AS sold_price_kr, event_id
+  FROM {events}
 """
 
 

@@ -70,7 +70,7 @@ def summarise(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def merge_summaries(state: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
-    """State advanced by the summary of later snapshots; ``seen_now`` marks ids in ``new``."""
+    """State advanced by the summary of later snapshots. ``was_*`` carries the resolution of ids not in ``new``."""
     s, n = state.alias("s"), new.alias("n")
     known, seen = F.col("s.id").isNotNull(), F.col("n.id").isNotNull()
     old, fresh = F.col("s.asking_history"), F.col("n.asking_history")
@@ -80,8 +80,8 @@ def merge_summaries(state: DataFrame, new: DataFrame, fields: list[str]) -> Data
     return s.join(n, F.col("s.id") == F.col("n.id"), "full_outer").select(
         F.coalesce("s.id", "n.id").alias("id"),
         F.coalesce("s.url", "n.url").alias("url"),
-        F.coalesce("s.first_seen", "n.first_seen").alias("first_seen"),
-        F.coalesce("n.last_seen", "s.last_seen").alias("last_seen"),
+        F.least("s.first_seen", "n.first_seen").alias("first_seen"),
+        F.greatest("n.last_seen", "s.last_seen").alias("last_seen"),
         F.when(known, F.col("s.deal_pct_first")).otherwise(F.col("n.deal_pct_first")).alias("deal_pct_first"),
         F.when(seen, F.col("n.deal_pct_last")).otherwise(F.col("s.deal_pct_last")).alias("deal_pct_last"),
         *[F.coalesce(f"n.{f}", f"s.{f}").alias(f) for f in fields],
@@ -132,7 +132,8 @@ def with_status(summaries: DataFrame, calendar: DataFrame, signals: DataFrame |
     """Status columns of each summary at the last day of the calendar.
 
     ``signals`` is ``probe_signals`` output. State columns carried by ``merge_summaries``
-    (``was_*``) keep a resolution that was reached before and not undone since.
+    (``was_*``) keep a resolution that a probe reached before and that was not undone since;
+    one by age follows from the calendar again, so a late probe dated before it still counts.
     """
     # One row per snapshot day.
     dated = summaries.join(F.broadcast(calendar), F.col("last_seen") == F.col("day"), "left").drop("day")
@@ -162,7 +163,9 @@ def with_status(summaries: DataFrame, calendar: DataFrame, signals: DataFrame |
         "withdrawn_date": F.when(ev["outcome"] == "withdrawn", ev["removed_on"]),
     }
     if "was_status" in summaries.columns:
-        final = F.coalesce(F.col("was_status").isin("sold", "withdrawn"), F.lit(False))
+        # Resolved by a probe: the day it vanished is cleared.
+        probed = F.col("was_status").isin("sold", "withdrawn") & F.col("was_vanished_since").isNull()
+        final = F.coalesce(probed & (ev.isNull() | (F.col("was_resolved_at") <= ev["probe_date"])), F.lit(False))
         derived = {c: F.when(final, F.col(f"was_{c}")).otherwise(e) for c, e in derived.items()}
     plain = [c for c in summaries.columns if not c.startswith("was_") and c not in RESOLUTION]
     return dated.select(*plain, *[e.alias(c) for c, e in derived.items()])

@@ -1,9 +1,13 @@
-"""The ledger as a stream: every new snapshot folder advances the state.
+"""The ledger as a stream: every new snapshot file advances the state.
 
-The source is the snapshot directory. Each micro-batch may hold one or many snapshot days
-and is applied with the same set-based step as the batch job. State versions are written
-per batch id, so a replayed batch overwrites its own version and nothing else: results are
-exactly once. Snapshots not newer than the last applied day are ignored and counted.
+A micro-batch may hold many snapshot days, a part of one day, a day that was applied before or an
+older one; after each batch the state is what ``ledger.rebuild`` gives over all rows so far.
+Ids whose rows are newer than all they had are merged into their summary. The others are
+summarised again from the rows kept of all batches; of rows at one (id, day, place) the
+one delivered last counts, so a file delivered twice changes nothing.
+
+Versions are written per batch id, so a replayed batch overwrites its own and nothing else: results
+are exactly once. The state and the calendar keep their last ``KEPT_VERSIONS`` versions.
 """
 
 from __future__ import annotations
@@ -30,8 +34,12 @@ def snapshot_stream(
     return reader.parquet(path)
 
 
+#: A replay of the last batch needs the version before it.
+KEPT_VERSIONS = 2
+
+
 class LedgerStream:
-    """Applies snapshot micro-batches to a versioned ledger table."""
+    """Applies snapshot micro-batches to a versioned ledger table. ``signals``: all probes so far."""
 
     def __init__(
         self,
@@ -50,35 +58,53 @@ class LedgerStream:
     def _path(self, table: str, version: int) -> str:
         return os.path.join(self.root, table, f"version={version}")
 
+    def _written(self, df: DataFrame, table: str, version: int) -> DataFrame:
+        path = self._path(table, version)
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def _summarised_again(self, ids: DataFrame, rows: DataFrame, version: int) -> DataFrame:
+        """Summaries of ``ids`` from the rows of all batches up to ``version``."""
+        kept = rows.sparkSession.read.schema(rows.schema.add("version", "long")).parquet(os.path.join(self.root, "rows"))
+        theirs = kept.where(F.col("version") <= version).join(ids, "id", "left_semi")
+        place = ["id", "snapshot_date", "pos"]
+        values = [c for c in rows.columns if c not in place]
+        last = theirs.groupBy(*place).agg(F.max_by(F.struct(*values), "version").alias("v"))
+        return ledger.summarise(last.select(*place, "v.*"), self.fields)
+
     def apply(self, batch: DataFrame, version: int) -> None:
-        """One micro-batch: version N is version N - 1 advanced by the batch's new days."""
-        spark = batch.sparkSession
-        first = version == 0
-        rows = batch
-        if not first:
-            known = spark.read.parquet(self._path("days", version - 1))
-            last = known.agg(F.max("snapshot_date")).first()[0]
-            if last is not None:
-                rows = batch.where(F.col("snapshot_date") > F.lit(last))
-            late = batch.where(F.col("snapshot_date") <= F.lit(last)) if last is not None else batch.limit(0)
-            late.groupBy("snapshot_date").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(
-                self._path("late", version)
-            )
+        """One micro-batch: version N is version N - 1 with the batch's rows."""
+        rows = self._written(batch, "rows", version)
         # The days table has one row per snapshot day.
         days = rows.select("snapshot_date").distinct()
-        if not first:
-            days = known.unionByName(days)
-        days.coalesce(1).write.mode("overwrite").parquet(self._path("days", version))
-        days = spark.read.parquet(self._path("days", version))
-        if first:
-            calendar = ledger.snapshot_calendar(days, self.withdraw_after)
-            state = ledger.with_status(ledger.summarise(rows, self.fields), calendar, self.signals)
+        if version == 0:
+            summaries = ledger.summarise(rows, self.fields)
+            late = rows.limit(0)
         else:
-            state = ledger.advance(
-                spark.read.parquet(self._path("state", version - 1)),
-                rows, days, self.fields, self.signals, self.withdraw_after,
-            )
-        state.write.mode("overwrite").parquet(self._path("state", version))
+            known = self.spark.read.parquet(self._path("days", version - 1))
+            state = self.spark.read.parquet(self._path("state", version - 1))
+            late = rows.where(F.col("snapshot_date") <= F.lit(known.agg(F.max("snapshot_date")).first()[0]))
+            days = known.unionByName(days).distinct()
+            since = rows.groupBy("id").agg(F.min("snapshot_date").alias("since"))
+            behind = since.join(state.select("id", "last_seen"), "id").where("since <= last_seen").select("id")
+            behind = self._written(behind, "behind", version)
+            later = ledger.summarise(rows.join(behind, "id", "left_anti"), self.fields)
+            merged = ledger.merge_summaries(state.join(behind, "id", "left_anti"), later, self.fields)
+            # The status follows from summaries, calendar and probes alone, so a late day counts for it too.
+            summaries = merged.drop(*[c for c in merged.columns if c.startswith("was_")])
+            summaries = summaries.unionByName(self._summarised_again(behind, rows, version))
+        self._written(late.groupBy("snapshot_date").agg(F.count("*").alias("n")), "late", version)
+        days = self._written(days.coalesce(1), "days", version)
+        calendar = ledger.snapshot_calendar(days, self.withdraw_after)
+        self._written(ledger.with_status(summaries, calendar, self.signals), "state", version)
+        for table in ("state", "days", "behind"):
+            self._forget(self._path(table, version - KEPT_VERSIONS))
+
+    def _forget(self, path: str) -> None:
+        """Deletes an old version, in whatever store the root is."""
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
     def start(self, stream: DataFrame, available_now: bool = True) -> StreamingQuery:
         writer = (
@@ -93,5 +119,11 @@ class LedgerStream:
     def state(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self._path("state", version))
 
+    def latest(self) -> DataFrame:
+        """The state after the newest batch."""
+        versions = self.spark.read.parquet(os.path.join(self.root, "days"))
+        return self.state(versions.agg(F.max("version")).first()[0])
+
     def late_rows(self, version: int) -> DataFrame:
+        """(snapshot_date, n): rows of the batch at or before a day that was applied already."""
         return self.spark.read.parquet(self._path("late", version))

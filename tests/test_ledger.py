@@ -120,6 +120,45 @@ def test_gaps(spark):
     assert got == [("a", day(1), day(2), day(4)), ("a", day(4), day(5), None)]
 
 
+def stream(spark, root, parts):
+    """The state after each part came as a micro-batch of its own."""
+    source = str(root / "in")
+    job = LedgerStream(spark, str(root / "ledger"), ["area"], WAIT)
+    for part in parts:
+        spark.createDataFrame(part, ROW).coalesce(1).write.mode("append").parquet(source)
+        job.start(snapshot_stream(spark, source, ROW)).awaitTermination()
+    return job
+
+
+def test_stream_takes_a_day_in_two_batches(spark, tmp_path):
+    rows = [(i, f"u{i}", START + timedelta(d), n, 10 + d, None, None) for d in (0, 1) for n, i in enumerate("abcd")]
+    job = stream(spark, tmp_path, [rows[:4], rows[4:6], rows[6:]])
+    check(job.latest(), replay(rows, []))
+    assert {r.status for r in job.latest().collect()} == {"active"}
+
+
+def test_stream_applies_a_late_day(spark, tmp_path):
+    rows = snapshots(5, ids=12)
+    late = sorted({r[2] for r in rows})[3]
+    job = stream(spark, tmp_path, [[r for r in rows if r[2] != late], [r for r in rows if r[2] == late]])
+    check(job.latest(), replay(rows, []))
+
+
+def test_stream_second_run_of_a_day_updates_it(spark, tmp_path):
+    first, again = ("a", "u", START, 0, 100, 1.5, "A"), ("a", "u", START, 0, 120, 2.5, "B")
+    job = stream(spark, tmp_path, [[first], [again]])
+    check(job.latest(), replay([again], []))
+
+
+def test_late_probe_before_the_age_out_counts(spark):
+    rows = [("a", "u", START, 0, 1, None, None)] + [("b", "v", START + timedelta(d), 0, 1, None, None) for d in range(9)]
+    df, probe = spark.createDataFrame(rows, ROW), spark.createDataFrame([("a", START + timedelta(2), "sold", None, "s", 5)], SIGNAL)
+    cut = F.lit(START + timedelta(7))
+    state = ledger.rebuild(df.where(F.col("snapshot_date") <= cut), ["area"], None, WAIT)
+    assert state.where("id = 'a'").first().status == "withdrawn"
+    check(ledger.advance(state, df.where(F.col("snapshot_date") > cut), df, ["area"], probe, WAIT), {r.id: r.asDict() | {"log": [(h.date, h.asking_kr) for h in r.asking_history]} for r in ledger.rebuild(df, ["area"], probe, WAIT).collect()})
+
+
 def test_stream_equals_batch_and_counts_late_days(spark, tmp_path):
     rows = snapshots(3)
     df = spark.createDataFrame(rows, ROW)
