@@ -168,7 +168,7 @@ def _ledger_with_place(spark, sf):
        FROM a LEFT JOIN k ON a.id = k.id AND k.rn = 1 WHERE aged IS NOT NULL AND a.id % 7 <> 0 AND a.id % 5 <> 0""",
 )
 def outcome_rows(spark, sf):
-    live = adapt(spark, sf, "SELECT DISTINCT user_id AS listing_id FROM {events} WHERE user_id % 5 = 0")
+    live = adapt(spark, sf, "SELECT DISTINCT user_id * 10 + length(event_type) AS listing_id FROM {events} WHERE (user_id * 10 + length(event_type)) % 5 = 0")
     gone = views.outcome_rows(_ledger_with_place(spark, sf), live)
     return gone.select(
         F.col("listing_id").alias("id"), "status", F.coalesce("asking_price_kr", F.lit(-1)).alias("asking_price_kr"), "region",

@@ -117,11 +117,13 @@ def attach_minutes(listings: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def address_facts(addr_to_brf: DataFrame, brf: DataFrame) -> DataFrame:
-    """Address slug -> association facts, without links to far-away associations."""
+    """Address slug -> association facts, without links to far-away associations. Of several links
+    of an address, and of several facts of an association, one counts: no row is multiplied."""
     links = addr_to_brf.where(F.col("brf_slug").isNotNull()).where(
         ~F.regexp_like("brf_slug", F.lit(fv.FAR_AWAY_SLUG))
     )
-    return links.select("addr_slug", "brf_slug").join(brf, "brf_slug")
+    one = links.groupBy("addr_slug").agg(F.min("brf_slug").alias("brf_slug"))
+    return one.join(brf.dropDuplicates(["brf_slug"]), "brf_slug")
 
 
 def backfill_by_priority(
@@ -160,18 +162,21 @@ def backfill_associations(sold: DataFrame, addr_facts: DataFrame, live: DataFram
     """Association facts for sold rows: by address slug first, else from the richest live
     row at the same slug and area; only inside the region.
 
-    ``live`` needs the backfill fields and an order (``snapshot_date``, ``pos``).
+    ``live`` needs an order (``snapshot_date``, ``pos``). Of the backfill fields those that either
+    source has are filled. An address slug counts once.
     """
-    fields = fv.BACKFILL_FIELDS
+    fields = [f for f in fv.BACKFILL_FIELDS if f in addr_facts.columns or f in live.columns]
     for f in fields:
         if f not in addr_facts.columns:
             addr_facts = addr_facts.withColumn(f, F.lit(None).cast(live.schema[f].dataType))
+        if f not in live.columns:
+            live = live.withColumn(f, F.lit(None).cast(addr_facts.schema[f].dataType))
     slugged = live.withColumn("_slug", tx.street_slug("address")).where("_slug IS NOT NULL AND area <> ''")
     best = richest(slugged, ["_slug", "area"], fields, ["snapshot_date", "pos"])
     rows = sold.withColumn("_slug", tx.street_slug("address"))
     return backfill_by_priority(
         rows,
-        addr_facts.withColumnRenamed("addr_slug", "_slug"),
+        addr_facts.withColumnRenamed("addr_slug", "_slug").dropDuplicates(["_slug"]),
         ["_slug"],
         best.select("_slug", "area", *fields),
         ["_slug", "area"],

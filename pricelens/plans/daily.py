@@ -54,21 +54,25 @@ def refresh(
     days: DataFrame | None = None,
     probes: DataFrame | None = None,
     site: str = "",
+    earlier: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored listings, ledger, view rows) of one day.
 
     ``live_cards`` holds the day's on-sale and upcoming cards, ``sold`` enriched sold
     listings with coordinates and an order column ``pos``. ``state`` is the ledger so far
-    and ``days`` its snapshot days; without them the ledger starts today.
+    and ``days`` its snapshot days; without them the ledger starts today. ``earlier`` holds the
+    listings of earlier live snapshots (``listing_id, address, area, snapshot_date, pos``), from
+    which sold rows are filled too.
     """
     today = F.lit(day).cast("date")
     listings = parse_cards(live_cards.where(F.col("kind") != "sold"), site, ["pos"])
     if lookups.addr_facts is not None:
-        own = listings.withColumn("snapshot_date", today)
+        own = listings.select("listing_id", "address", "area", today.alias("snapshot_date"), F.col("pos").cast("bigint").alias("pos"))
+        if earlier is not None:
+            own = own.unionByName(earlier.select(own.columns))
         carried = [f for f in fv.BACKFILL_FIELDS if f in lookups.detail_facts.columns]
-        if len(carried) == len(fv.BACKFILL_FIELDS):
-            facts = lookups.detail_facts.select("listing_id", *carried)
-            sold = enrich.backfill_associations(sold, lookups.addr_facts, own.join(facts, "listing_id"))
+        facts = lookups.detail_facts.select("listing_id", *carried)
+        sold = enrich.backfill_associations(sold, lookups.addr_facts, own.join(facts, "listing_id"))
     scored = cut_lineage(scoring.score_listings(enrich_listings(listings, lookups), sold), "scored")
     rows = snapshot_rows(scored, today)
     fields = [c for c in fv.SNAPSHOT_FIELDS if c in rows.columns]
@@ -80,4 +84,5 @@ def refresh(
         book = ledger.advance(state, rows, known, fields, signals)
     book = cut_lineage(book, "ledger")
     live = views.merge_ledger_fields(scored, book)
-    return scored, book, views.view_rows(live, views.outcome_rows(book, live))
+    photos = lookups.detail_facts if "photos" in lookups.detail_facts.columns else None
+    return scored, book, views.view_rows(live, views.outcome_rows(book, live, photos))
