@@ -67,18 +67,6 @@ def exact_quantiles(
     )
 
 
-def quantiles_of_counts(
-    counts: DataFrame, keys: list[str], value: str, count: str, probs: dict[str, float], max_values: int = 1_000_000
-) -> DataFrame:
-    """Exact quantiles of values that are already counted.
-
-    While the largest group has at most ``max_values`` count rows, one aggregation buffer
-    per group holds them; the size is checked first. Larger groups take the bucketed way.
-    """
-    sizes = counts.groupBy(*keys).agg(F.count("*").alias("size")).agg(F.max("size").alias("largest"))
-    if (sizes.first()["largest"] or 0) > max_values:
-        return exact_quantiles(counts, keys, value, probs, weight=count)
-    return counts.groupBy(*keys).agg(
-        F.sum(count).alias("n"),
-        *[F.percentile(value, F.lit(float(p)), F.col(count)).alias(name) for name, p in probs.items()],
-    )
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, count: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of values that are already counted."""
+    return exact_quantiles(counts, keys, value, probs, weight=count)

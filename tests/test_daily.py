@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pricelens import fixed_values as fv
 from pricelens import schemas
 from pricelens.functions import text as tx
+from pricelens.operators import enrich
 from pricelens.plans import daily
 from test_models import frame, sample
 
@@ -42,3 +43,16 @@ def test_two_days(spark):
     shown = {r.listing_id: r for r in view.collect()}
     assert set(shown) == {"1000", "1001", "1002"} and shown["1001"].status == "sold" and shown["1001"].realized_deal_pct is not None
     assert set(view.columns) <= {"listing_id", *fv.VIEW_FIELDS}
+
+
+def test_associations_from_earlier_days_and_repeated_slugs(spark):
+    sold = spark.createDataFrame([("s1", "Gatan 1", "Vasastan, Stockholms kommun"), ("s2", "Gatan 2", "Vasastan, Stockholms kommun")], "listing_id string, address string, area string")
+    twice = spark.createDataFrame([(tx_slug(spark, "Gatan 1"), True), (tx_slug(spark, "Gatan 1"), True)], "addr_slug string, brf_akta boolean")
+    live = spark.createDataFrame([("Gatan 2", "Vasastan, Stockholms kommun", date(2026, 5, 1), 0, 12)], "address string, area string, snapshot_date date, pos long, brf_n_lgh int")
+    got = {r.listing_id: r for r in enrich.backfill_associations(sold, twice, live).collect()}
+    assert len(got) == 2 and got["s1"].brf_akta and got["s1"].brf_n_lgh is None
+    assert got["s2"].brf_n_lgh == 12 and got["s2"].backfill_source == "fallback"
+
+
+def tx_slug(spark, address):
+    return spark.range(1).select(tx.street_slug(F.lit(address))).first()[0]
