@@ -206,11 +206,10 @@ def address_facts_guard(spark, sf):
 # ---- semi / anti / dedupe --------------------------------------------------------
 @query(
     "semi_todo",
-    "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)",
+    "SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)",
 )
 def semi_todo(spark, sf):
-    known = table(spark, sf, "lineitem").where("l_quantity > 40").withColumnRenamed("l_orderkey", "o_orderkey")
-    return enrich.present_in(table(spark, sf, "orders"), known, "o_orderkey").select("o_orderkey")
+    return enrich.present_in(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id")
 
 
 @query("anti_todo", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
@@ -276,7 +275,7 @@ def tolerant_json_scan(spark, sf):
 )
 def sitemap_slugs(spark, sf):
     pages = table(spark, sf, "pages")
-    xml = pages.groupBy((F.col("page_id") % 50).alias("file")).agg(
+    xml = pages.groupBy(F.floor(F.col("page_id") / 50).alias("file")).agg(
         F.concat_ws("", F.collect_list(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>")))).alias("value")
     )
     return readers.sitemap_slugs(xml)
@@ -284,10 +283,10 @@ def sitemap_slugs(spark, sf):
 
 @query(
     "latest_snapshot",
-    "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderstatus <> 'P') AND o_orderstatus <> 'P'",
+    "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)",
 )
 def latest_snapshot(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderstatus <> 'P'").withColumn("snapshot_date", F.to_date("o_orderdate"))
+    rows = table(spark, sf, "orders").withColumn("snapshot_date", F.to_date("o_orderdate"))
     return readers.latest_snapshot(rows).select("o_orderkey")
 
 

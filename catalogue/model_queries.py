@@ -90,15 +90,16 @@ def fine_to_coarse_fold(spark, sf):
 
 @query(
     "liquidity_tiers",
-    """SELECT s_name AS district, count(*) AS n, CASE WHEN count(*) >= 20 AND (avg(CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 0 END) >= 65 OR count(*) >= 600) THEN 'high'
-         WHEN count(*) >= 20 AND count(*) >= 60 THEN 'high' WHEN count(*) >= 10 AND avg(CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 0 END) >= 50 THEN 'medium' ELSE 'low' END AS tier
-       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % (1 + l_suppkey % 60) = 0 AND l_linenumber <> 3 GROUP BY s_name""",
+    """SELECT concat(s_name, ' ', CAST(least(l_quantity, 40) AS INT)) AS district, count(*) AS n,
+         CASE WHEN count(*) >= 20 AND (avg(CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 0 END) >= 65 OR count(*) >= 60) THEN 'high'
+         WHEN count(*) >= 10 AND avg(CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 0 END) >= 50 THEN 'medium' ELSE 'low' END AS tier
+       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <> 3 GROUP BY 1""",
 )
 def liquidity_tiers(spark, sf):
     sold = adapt(
         spark, sf,
-        """SELECT s_name AS stadsdel, CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(round((l_discount - 0.05) * 100) AS INT) END AS price_diff_pct
-           FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_partkey % (1 + l_suppkey % 60) = 0""",
+        """SELECT concat(s_name, ' ', CAST(least(l_quantity, 40) AS INT)) AS stadsdel, CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(round((l_discount - 0.05) * 100) AS INT) END AS price_diff_pct
+           FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     )
     return levels.liquidity_tiers(sold).select(F.col("stadsdel").alias("district"), "n", "tier")
 
@@ -264,7 +265,7 @@ def model_routing(spark, sf):
 SOLD = """
   SELECT CAST(row_id AS STRING) AS listing_id, row_id AS pos, area, bostadstyp, upplatelseform, price_kr, m2, boarea_m2, byggar, vaning, hiss, avgift_kr_mon, fee_kr,
          brf_ager_marken, brf_akta, brf_belaning_kr_m2, price_diff_pct, lat, lon
-  FROM (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS row_id,
+  FROM (SELECT l_orderkey * 100000000000 + CAST(l_suppkey AS BIGINT) * 10000000 + l_partkey * 10 + l_linenumber AS row_id,
           concat(CASE WHEN l_suppkey % 4 = 0 THEN concat('Södermalm ', n_name) WHEN l_suppkey % 4 = 1 THEN 'Vasastan' ELSE concat(n_name, ' - ', s_name) END, ', Stockholms kommun') AS area,
           CASE WHEN l_partkey % 10 < 6 THEN 'Lägenhet' WHEN l_partkey % 10 < 8 THEN 'Villa' ELSE 'Radhus' END AS bostadstyp,
           CASE l_partkey % 9 WHEN 0 THEN 'Tomträtt' WHEN 1 THEN 'Äganderätt' ELSE 'Bostadsrätt' END AS upplatelseform,

@@ -24,6 +24,7 @@ MAX_STEPS = 13  # 2**26 columns and rows
 LEAF_POINTS = 64
 BROADCAST_NODES = 200_000  # about 20 MB of node rows
 SLACK = 1.0 + 1e-9  # rounding margin when comparing bounds
+LOCATED = "lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)"
 
 
 def _grid_codes(points: DataFrame, cls: list[str]) -> DataFrame:
@@ -137,7 +138,7 @@ def nearest_neighbours(
     """
     cls = ["cls"] if classes is not None else []
     spark = probes.sparkSession
-    located = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(
+    located = points.where(LOCATED).select(
         *cls,
         F.col("lat").cast("double").alias("p_lat"),
         F.col("lon").cast("double").alias("p_lon"),
@@ -153,7 +154,7 @@ def nearest_neighbours(
     depth, node_counts = _depth_needed(coded, cls, leaf_points)
     tree = cut_lineage(_tree(coded, cls, depth, leaf_points))
 
-    front = probes.where("lat IS NOT NULL AND lon IS NOT NULL").select(
+    front = probes.where(LOCATED).select(
         F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")
     ).distinct()
     if classes is not None:
