@@ -31,7 +31,8 @@ def featurize(rows: DataFrame) -> DataFrame:
     """Adds the raw features; rows without a positive living area are dropped.
 
     Missing values stay null: ``byggar_decade``, ``vaning_eff``, ``hiss_known``,
-    ``log_avgift``, ``log_belaning``. Zero area, fee and build year count as missing.
+    ``log_avgift``, ``log_belaning``. Zero area, fee and build year count as missing; a zero
+    build year counts as given (``year_known``) when the district's median is looked up.
     """
     opt = {
         c: _optional(rows, c, t)
@@ -53,6 +54,7 @@ def featurize(rows: DataFrame) -> DataFrame:
         (F.floor(year / 10) * 10).cast("int").alias("byggar_decade"),
         opt["vaning"].cast("int").alias("vaning_eff"),
         opt["hiss"].alias("hiss_known"),
+        opt["byggar"].isNotNull().alias("year_known"),
         fee.alias("fee_known"),
         (fee.isNull() & freehold).alias("fee_free"),
         F.when(F.nullif(fee, F.lit(0.0)).isNotNull(), F.log(fee + 1))
@@ -198,7 +200,7 @@ def prediction_design(feats: DataFrame, medians: DataFrame, fills: DataFrame, ke
         {
             "byggar_decade": F.coalesce(
                 F.col("byggar_decade").cast("double"),
-                F.nullif(F.floor(looked_up("byggar") / 10) * 10, F.lit(0)).cast("double"),
+                F.when(~F.col("year_known"), F.nullif(F.floor(looked_up("byggar") / 10) * 10, F.lit(0)).cast("double")),
                 fill("fill_byggar"),
             ),
             "vaning_eff": F.coalesce(

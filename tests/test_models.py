@@ -145,7 +145,7 @@ class PlainScorer:
         fee = monthly if monthly else (None if absent(r["fee_kr"]) else r["fee_kr"])
         own = r["upplatelseform"] == "Äganderätt"
         return {
-            "log_m2": np.log(area), "decade": None if absent(r["byggar"]) else int(r["byggar"]) // 10 * 10,
+            "log_m2": np.log(area), "decade": None if absent(r["byggar"]) or r["byggar"] == 0 else int(r["byggar"]) // 10 * 10, "year_given": not absent(r["byggar"]),
             "floor": None if absent(r["vaning"]) else int(r["vaning"]), "lift": None if absent(r["hiss"]) else bool(r["hiss"]),
             "fee": fee, "log_fee": np.log(fee + 1) if fee else (0.0 if fee is None and own else None), "free": fee is None and own,
             "flags": [float(r["upplatelseform"] == "Tomträtt" or r["brf_ager_marken"] is False), float(own), float(r["upplatelseform"] == "Andel i bostadsförening")],
@@ -205,7 +205,7 @@ class PlainScorer:
         model, i = self.models[key], self.raw(r)
         district = resolved or (fine if model["fine"] else coarse)
         m = model["med"].get(district, model["all"])
-        if i["decade"] is None and m["decade"]:
+        if not i["year_given"] and m["decade"]:
             i["decade"] = m["decade"] // 10 * 10 or None
         i["floor"] = m["floor"] if i["floor"] is None else i["floor"]
         i["lift"] = m["lift"] if i["lift"] is None else i["lift"]
@@ -218,6 +218,7 @@ class PlainScorer:
 def test_scorer_matches_plain_calculation(spark):
     sold, live = sample(600, 1, True), sample(150, 2, False)
     live.loc[live.index % 10 == 0, "area"] = "Okänt ställe, Stockholms kommun"
+    live.loc[live.index % 7 == 0, "byggar"] = 0
     sold_df, live_df = frame(spark, sold, "price_kr"), frame(spark, live, "asking_price_kr")
     both = sold_df.select("listing_id", "area").union(live_df.select("listing_id", "area"))
     labels = {r[0]: (r[1], r[2]) for r in both.select("listing_id", tx.coarse_district("area"), tx.fine_district("area")).collect()}
