@@ -1,10 +1,12 @@
 """Licence notices by a positional index of rare words.
 
-The index holds where each word stands in each licence template. A file is looked up by those of its
-words that are rare over all documents (highest inverse document frequency): each place of such
-a word, less its place in a template, is a vote for where the template would start. Starts with
-enough votes are compared word by word; the weight of the words that match there is the coverage.
-A template counts with a coverage of ``COVERAGE`` and its key phrase inside the stretch.
+The index holds where each word stands in each licence template. A file is looked up by the rarest
+words of each template (highest inverse document frequency over all documents): each place of such
+a word, less its place in the template, is a vote for where the template would start, with the
+word's weight. A template's look-up words weigh more than what a stretch may lack, so every start
+with enough coverage has votes: at least their weight less what may be lacking. Starts with that
+much are compared word by word; the weight of the words that match there is the coverage. A
+template counts with a coverage of ``COVERAGE`` and its key phrase inside the stretch.
 Templates whose words, all taken, are too light in the file are left out before any position is read.
 
 Defined cases: null text is empty; no label is an empty string; repeated rows are rows; ties in
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from pricelens.llm.tables import written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-RAREST, VOTES, COVERAGE = 6, 2, 0.7
+#: Look-up words that a template has at least, and the share of its weight that has to match.
+RAREST, COVERAGE = 6, 0.7
 
 # The phrases that count by themselves, and notices with their key phrase.
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -72,17 +75,31 @@ def _scan(idf: dict[bytes, float]):
             for i, w in enumerate(words):
                 postings[w].append((t, i))
         ends = {p[-1] for p, _ in base}
+        lookup: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        least = []
+        for t, (_, words, _) in enumerate(templates):
+            held, lacking = 0.0, (1 - COVERAGE) * weights[t]
+            for n, w in enumerate(sorted(set(words), key=lambda w: (-idf[w], w))):
+                if n >= RAREST and held > lacking:
+                    break
+                places = [x for x in postings[w] if x[0] == t]
+                lookup[w] += places
+                held += idf[w] * len(places)
+            least.append(held - lacking - 1e-9)
 
         def aligned(words: list[bytes], present: set[bytes]) -> list[tuple[str, float]]:
             able = {t for t, (_, text, _) in enumerate(templates) if sum(idf[w] for w in text if w in present) >= COVERAGE * weights[t]}
             if not able:
                 return []
-            rare = set(sorted((w for w in postings if w in present and any(t in able for t, _ in postings[w])), key=lambda w: (-idf[w], w))[:RAREST])
-            votes: Counter = Counter((t, i - o) for i, w in enumerate(words) if w in rare for t, o in postings[w] if t in able)
+            votes: dict[tuple[int, int], float] = defaultdict(float)
+            for i, w in enumerate(words):
+                for t, o in lookup.get(w, ()):
+                    if t in able:
+                        votes[t, i - o] += idf[w]
             found = []
-            for (t, start), n in votes.items():
+            for (t, start), weight in votes.items():
                 label, text, key = templates[t]
-                if n < min(VOTES, len(rare.intersection(text))) or start < 0:
+                if weight < least[t] or start < 0:
                     continue
                 stretch = words[start : start + len(text)]
                 cover = sum(idf[w] for w, x in zip(text, stretch) if w == x) / weights[t]

@@ -237,6 +237,34 @@ def test_license_scan(docs):
     assert (got[6]["n_words"], got[6]["first_word"], got[6]["labels"], got[6]["score"]) == (0, None, "", 0.0)
 
 
+def test_license_scan_finds_every_notice(spark):
+    texts = [text for _, text, _ in license_scan.TEMPLATES]
+    rng = random.Random(6)
+    stock = sorted({w for t in texts for w in t.split()})
+    files = [f"{a} x {b}" for a in texts for b in texts] + [" y ".join(texts), " ".join(reversed(texts))]
+    for _ in range(150):
+        words = []
+        for t in rng.sample(texts, rng.randint(1, 4)):
+            words += [w if rng.random() < 0.85 else rng.choice(stock) for w in t.split()] + rng.choices(stock, k=rng.randint(0, 8))
+        files.append(" ".join(words))
+    held = Counter(w for f in files for w in set(f.split()))
+    idf = {w: np.log((len(files) + 1) / (held[w] + 1)) + 0.01 for w in stock}
+    want = []
+    for i, f in enumerate(files):
+        words, labels = f.split(), {label for phrase, label in license_scan.BASE if f" {phrase} " in f" {f} "}
+        for label, text, key in license_scan.TEMPLATES:
+            parts = text.split()
+            for start in range(len(words)):
+                stretch = words[start : start + len(parts)]
+                cover = sum(idf[w] for w, x in zip(parts, stretch) if w == x) / sum(idf[w] for w in parts)
+                if cover >= license_scan.COVERAGE and f" {key} " in f" {' '.join(stretch)} ":
+                    labels.add(label)
+        want.append((i, ",".join(sorted(labels))))
+    assert ",".join(("gpl-3", "mit")) in {x for _, x in want}
+    df = spark.createDataFrame(list(enumerate(files)), "doc_id long, text string").repartition(4)
+    assert rows_of(license_scan.scan(df), "doc_id", "labels") == sorted(want, key=repr)
+
+
 def test_url_filter(spark):
     urls = ["http://A.example.com/en/1", "https://www.example.com/en/2?x", "http://x.net/es/3#y", "http://x.net/en/4", "no scheme", None, "http://com/a", "s://x.org"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
