@@ -131,7 +131,8 @@ def repeated_in_columns(groups: np.ndarray, leads: np.ndarray, clips: list[bytes
         perm = np.argsort(groups[order] * 257 + symbol + 1, kind="stable")
         symbol = symbol[perm]
         # Least common prefix on the way from a row to the next one with the same symbol.
-        low = np.minimum.reduceat(common, np.minimum(perm + 1, m - 1))
+        # The end put behind it closes the way to the last row, and is on no way itself.
+        low = np.minimum.reduceat(np.append(common, 0), perm + 1)
         order = order[perm]
         own = groups[order]
         common = np.zeros(m, np.int64)

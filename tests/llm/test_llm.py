@@ -86,6 +86,24 @@ def test_suffix_dedup(spark, docs, make, block, monkeypatch):
     assert rows_of(suffix_dedup.digest(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_repeated_in_columns():
+    rng = random.Random(5)
+    for _ in range(400):
+        groups, leads, clips = [], [], []
+        for g in range(rng.randint(1, 3)):
+            held = set()
+            for _ in range(rng.randint(3, 10)):
+                lead, tail = rng.randint(0, 5), rng.randint(2, 6)
+                held.add((lead, "".join(rng.choice("ab") for _ in range(lead)) + "a" + "".join(rng.choice("ab") for _ in range(tail))))
+            for lead, clip in sorted(held, key=lambda _: rng.random()):
+                if len(clip) >= 3:
+                    groups.append(g), leads.append(lead), clips.append(clip.encode())
+        seen = Counter((g, o - lead, c[o : o + 3]) for g, lead, c in zip(groups, leads, clips) for o in range(len(c) - 2))
+        want = [[seen[g, o - lead, c[o : o + 3]] > 1 for o in range(len(c) - 2)] for g, lead, c in zip(groups, leads, clips)]
+        found = suffix_dedup.repeated_in_columns(np.array(groups), np.array(leads), clips, 3)
+        assert [list(f[: len(w)]) for f, w in zip(found, want)] == want
+
+
 def brute_components(rows, percent):
     sets, parent = {}, {}
     for i, text in rows:
