@@ -242,6 +242,25 @@ def test_quality_rules(spark, docs):
     assert all(v == (i < 200) for i, v in verdict.items())
 
 
+def test_quality_rules_reject_sparse_symbols(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)) for _ in range(120)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    rows += [(500 + i, t.replace(" ", " | ", 14 + i), "en", "a") for i, t in enumerate(texts[:20])]  # 5 to 11 symbols per 100
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(verdict[i] for i in range(120)) == 120 and not any(v for i, v in verdict.items() if i >= 500)
+
+
+def test_mcd_is_settled(spark):
+    rng = np.random.default_rng(2)
+    far = rng.normal(size=(300, 4)) * 2 + (np.arange(300)[:, None] % 3 == 0) * rng.normal(4, 3, size=(300, 4))
+    rows = spark.createDataFrame([("en", "=a", *map(float, x)) for x in far], "lang string, group string, f1 double, f2 double, f3 double, f4 double")
+    found = quality_rules.mcd(rows)
+    joined = rows.join(found, ["lang", "group"])
+    again = quality_rules._concentrate(joined.select(*rows.columns, quality_rules._distance(joined).alias("d")), quality_rules.F.col("d"))
+    assert again.first()["det"] >= found.first()["det"] - 1e-5
+
+
 def test_mcd_moments(spark):
     rows = [("en", "=a", float(x), float(y), 0.0, 1.0) for x, y in np.random.default_rng(0).normal(size=(200, 2))]
     got = quality_rules.mcd(spark.createDataFrame(rows, "lang string, group string, f1 double, f2 double, f3 double, f4 double")).first()
