@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pricelens.llm import (
     chat_format, components, decontamination, language_id, license_scan, minhash_dedup, quality_rules, source_mix, substring_dedup,
     suffix_dedup, url_filter,
@@ -150,6 +151,21 @@ def test_minhash_blocks_and_odd_rows(docs, monkeypatch):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter([1, 4, 6, 7, 8, 10, None, None, 12, 14, 16, 17])
 
 
+def test_near_copy_stage_from_80_percent(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):
+        words = [f"d{i}x{k}" for k in range(150)]
+        rows.append((2 * i, " ".join(words)))
+        for k in rng.sample(range(10, 140, 10), 2 + i % 3):  # similarity 0.87, 0.81 and 0.77
+            words[k] = "new"
+        rows.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [i for i, _, _, kept in brute_components(rows, 80) if kept]
+    assert len(want) == 16
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, df, "").collect()) == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60), (60, 50), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
