@@ -4,8 +4,10 @@ Paths become sequences of segments; runs of digits are variable from the start.
 level by level, rare children of a node with many children become a wildcard, and children whose
 labelled pages are blocked at statistically the same rate as their siblings' are merged with
 them. A template's purity is the share of blocked pages among its labelled ones, smoothed towards
-the rate of all labelled pages. Pages that no rule decides are
-blocked if their template's purity is at least ``REJECT``. Labelled are the pages that a rule decides.
+its parent's, the first template's towards the host's, the host's towards its parent domain's, and the last
+domain's towards the rate of all labelled pages. Pages that no rule decides are blocked if their
+template's purity is at least ``REJECT`` and a page of the host or of a parent domain is labelled.
+Labelled are the pages that a rule decides.
 
 Levels are aggregations with partial sums and equi-joins with their results, so a host with very
 many pages is split like any other large key. Segments after ``DEPTH`` share one tail node.
@@ -48,15 +50,34 @@ def rule_of(host: Column, path: Column, what: int | None = None) -> Column:
     return F.coalesce(*out)
 
 
+def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:
+    return (blocked + SMOOTHING * prior) / (labelled + SMOOTHING)
+
+
+def priors(pages: DataFrame) -> DataFrame:
+    """Per host: _prior, the smoothed purity of its parent domains, and _known, whether they or the host have labelled pages."""
+    hosts = written(pages.groupBy("host").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("k")), "hosts")
+    base = hosts.agg(F.coalesce(F.sum("k") / F.greatest(F.sum("m"), F.lit(1)), F.lit(0.0)).alias("base"))
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(labels, -i, i), ".").alias("domain")))
+    above = hosts.select("host", "m", "k", F.inline(ends))
+    domains = written(above.groupBy("domain").agg(F.sum("m").alias("m"), F.sum("k").alias("k")), "domains")
+    way = above.select("host", "depth", "domain").join(domains, "domain")
+    parents = F.sort_array(F.collect_list(F.when(F.col("domain") != F.col("host"), F.struct("depth", "m", "k"))))
+    way = way.groupBy("host").agg(parents.alias("parents"), (F.max("m") > 0).alias("_known"))
+    prior = F.aggregate("parents", F.col("base"), lambda up, x: _smoothed(x["k"], x["m"], up))
+    return written(way.join(F.broadcast(base)).select("host", prior.alias("_prior"), "_known"), "priors")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, path, labelled, blocked, ...) with the template of each path."""
+    """pages (host, path, labelled, blocked, _prior, ...) with the template of each path, and in _prior its parent's purity."""
     generic = F.regexp_replace(F.col("path"), r"[0-9]+", "{n}")
     segments = F.array_remove(F.split(generic, "/"), "")
     pages = pages.withColumns({"_seg": F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments), "template": F.lit("")})
     for level in range(DEPTH + 1):
         pages = pages.withColumn("_s", F.coalesce(F.get("_seg", F.lit(level)), F.lit("")))
-        children = written(pages.groupBy("host", "template", "_s").agg(F.count("*").alias("n"), F.sum("labelled").alias("m"), F.sum("blocked").alias("k")), "children")
-        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.sum("k").alias("all_k"), F.count("*").alias("many"))
+        children = written(pages.groupBy("host", "template", "_s").agg(F.count("*").alias("n"), F.sum("labelled").alias("m"), F.sum("blocked").alias("k"), F.max("_prior").alias("prior")), "children")
+        nodes = children.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.sum("k").alias("all_k"), F.count("*").alias("many"), F.max("prior").alias("up"))
         others = F.col("all_m") - F.col("m")
         rate, rest = F.try_divide(F.col("k"), F.col("m")), F.try_divide(F.col("all_k") - F.col("k"), others)
         pooled = F.try_divide(F.col("all_k"), F.col("all_m"))
@@ -65,8 +86,12 @@ def templates(pages: DataFrame) -> DataFrame:
         same = F.coalesce(enough & (F.abs(rate - rest) <= ALIKE * error), F.lit(False))
         rare = (F.col("many") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n"))
         name = F.when(F.col("_s") == "", "").when(same | rare, "/*").otherwise(F.concat(F.lit("/"), "_s"))
-        named = written(children.join(nodes, ["host", "template"]).select("host", "template", "_s", name.alias("_name")), "named")
-        pages = pages.join(named, ["host", "template", "_s"]).withColumn("template", F.concat("template", "_name")).drop("_s", "_name")
+        purity = _smoothed(F.col("all_k"), F.col("all_m"), F.col("up"))
+        named = written(children.join(nodes, ["host", "template"]).select("host", "template", "_s", name.alias("_name"), purity.alias("_purity")), "named")
+        pages = pages.join(named, ["host", "template", "_s"])
+        # A path that ended on an earlier level has its template already, and its labels count once.
+        prior = F.when(F.size("_seg") >= level, F.col("_purity")).otherwise(F.col("_prior"))
+        pages = pages.withColumns({"template": F.concat("template", "_name"), "_prior": prior}).drop("_s", "_name", "_purity")
     return pages.drop("_seg")
 
 
@@ -76,11 +101,10 @@ def judge(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"rule": rule_of(F.col("host"), F.col("path")), "_given": rule_of(F.col("host"), F.col("path"), 2)})
     rows = rows.withColumns({"labelled": F.when(F.col("_given").isNotNull(), 1).otherwise(0), "blocked": F.when(F.col("_given") == "block", 1).otherwise(0)})
+    rows = rows.join(priors(rows), "host")
     rows = written(templates(rows), "templates")
-    own = written(rows.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("k")), "nodes")
-    base = own.agg(F.coalesce(F.sum("k") / F.greatest(F.sum("m"), F.lit(1)), F.lit(0.0)).alias("base"))
-    purity = (F.col("k") + SMOOTHING * F.col("base")) / (F.col("m") + SMOOTHING)
-    scored = written(own.join(F.broadcast(base)).select("host", "template", purity.alias("purity")), "purity")
+    own = rows.groupBy("host", "template").agg(F.sum("labelled").alias("m"), F.sum("blocked").alias("k"), F.max("_prior").alias("prior"))
+    scored = written(own.select("host", "template", _smoothed(F.col("k"), F.col("m"), F.col("prior")).alias("purity")), "purity")
     out = rows.join(scored, ["host", "template"])
-    verdict = F.coalesce("_given", F.when((F.col("host") != "") & (F.col("purity") >= REJECT), "block").otherwise("allow"))
+    verdict = F.coalesce("_given", F.when((F.col("host") != "") & F.col("_known") & (F.col("purity") >= REJECT), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -327,6 +327,20 @@ def test_url_filter(spark):
     assert got[6] == ("com", "/a", "com/", "allow") and got[7][:3] == ("x.org", "", None)
 
 
+def test_url_filter_blocks_by_template_host_and_domain(spark):
+    blocked = [f"http://x.net/es/{i}" for i in range(30)] + [f"http://x.net/fr/{i}" for i in range(20)]
+    open_pages = ["http://x.net/en/1", "http://x.net/", "http://y.net/en/1", "http://a.y.net/en/1/2/3/4/5/6", "http://z.org/es/1"]
+    for more in ([f"http://b.com/{i}" for i in range(300)], []):  # a low and a high rate of all labelled pages
+        df = spark.createDataFrame(list(enumerate(blocked + more + open_pages)), "page_id long, url string")
+        got = {r["url"]: r for r in url_filter.judge(df).join(df, "page_id").collect()}
+        assert [got[u]["verdict"] for u in open_pages] == ["block"] * 4 + ["allow"]
+        base = 50 / (50 + len(more))
+        net = (50 + 4 * base) / 54
+        host = (50 + 4 * net) / 54
+        assert got["http://z.org/es/1"]["purity"] == pytest.approx(base)
+        assert got["http://x.net/"]["purity"] == pytest.approx(host) and got["http://y.net/en/1"]["purity"] == pytest.approx(net)
+
+
 def test_empty_tables(none):
     for apply in (substring_dedup.digest, suffix_dedup.digest, minhash_dedup.near_copies, language_id.identify, license_scan.scan, quality_rules.judge, source_mix.mix):
         assert apply(none).count() == 0
