@@ -12,7 +12,7 @@ digits with counted offsets, so a source with a third of all rows is numbered by
 
 Defined cases: a null source is a source of its own; null and repeated doc_ids are placed by
 their texts, then by any order; a source without a weight counts as weight 1; an empty table gives
-an empty table; other columns stay.
+an empty table; other columns stay, but slot, place and in_mix are replaced.
 """
 
 from __future__ import annotations
@@ -60,7 +60,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     """docs with slot (of its block), place (order in the mix) and in_mix."""
     hexed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     names = {"_hash": hexed, "_bucket": F.substring(hexed, 1, BUCKET_DIGITS)}
-    keyed = docs.withColumns(names)
+    texts = [F.md5(F.coalesce("text", F.lit(""))).alias("_text")] if "text" in docs.columns else []
+    # The other columns are carried in one, so that none clashes with a name used here.
+    keyed = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"), *texts).withColumns(names)
     counts = written(keyed.groupBy("source", "_bucket").agg(F.count("*").alias("n")), "counts")
     sizes = counts.groupBy("source").agg(F.sum("n").alias("n"))
     given = default_weights(sizes) if weights is None else weights
@@ -69,7 +71,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     plan = written(period(given), "plan")
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("source").alias("s1"), F.col("_bucket").alias("b1"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    tie = [F.asc_nulls_first("doc_id")] + ([F.md5(F.coalesce("text", F.lit("")))] if "text" in docs.columns else [])
+    tie = [F.asc_nulls_first("doc_id")] + (["_text"] if texts else [])
     local = Window.partitionBy("source", "_bucket").orderBy("_hash", *tie)
     ranked = keyed.withColumn("_local", F.row_number().over(local))
     ranked = ranked.join(offsets, F.col("source").eqNullSafe(F.col("s1")) & (F.col("_bucket") == F.col("b1"))).drop("s1", "b1")
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     end = ends.agg(F.min(slot).alias("_end"))
     placed = placed.withColumn("slot", slot).withColumn("place", F.col("slot") * block + F.expr(f"_k % {block}"))
     out = placed.join(F.broadcast(end)).withColumn("in_mix", F.col("slot") < F.col("_end"))
-    return out.select(*docs.columns, "slot", "place", "in_mix")
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("slot", "place", "in_mix")], "slot", "place", "in_mix")
 
 
 ORACLE = f"""

@@ -225,6 +225,18 @@ def test_source_mix(spark, docs):
     assert out.columns == [*docs.columns, "slot", "place", "in_mix"] and out.count() == docs.count()
 
 
+def test_clashing_columns(spark, docs, tmp_path):
+    names = ["weight", "slots", "length", "slot", "place", "in_mix", "s1", "offset"]
+    own = docs.select("*", *[docs["score"].cast("string").alias(c) for c in names])
+    out = source_mix.mix(own)
+    assert out.columns == [*docs.columns, "weight", "slots", "length", "s1", "offset", "slot", "place", "in_mix"]
+    out.write.parquet(str(tmp_path / "mix"))
+    assert {tuple(r[c] for c in ("weight", "slots", "length", "s1", "offset", "row_hash")) for r in spark.read.parquet(str(tmp_path / "mix")).collect()} == {("7",) * 5 + ("mine",)}
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    kept = decontamination.clean(docs, bench)
+    assert kept.schema.names == docs.columns and rows_of(kept, *docs.columns) == rows_of(docs, *docs.columns)
+
+
 def test_language_id(spark, docs):
     pools = {"en": "the of and to in is".split(), "de": "der die und das ist von".split()}
     rng = random.Random(2)
