@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pricelens.llm import (
     chat_format,
     decontamination,
+    html_extraction,
+    importance_resampling,
     language_id,
     license_scan,
     minhash_dedup,
@@ -89,3 +91,19 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_importance_resampling"] = importance_resampling.ORACLE
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op13_html_extraction"] = html_extraction.ORACLE
