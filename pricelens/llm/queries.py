@@ -12,6 +12,7 @@ from pricelens.llm import (
     html_extraction,
     importance_resampling,
     language_id,
+    lexical_search,
     license_scan,
     minhash_dedup,
     quality_rules,
@@ -93,6 +94,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = lexical_search.ORACLE
+
+
 @query
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
