@@ -63,7 +63,7 @@ def runs(text: bytes, longest: int = LONGEST, piece: int = PIECE) -> Iterator[tu
             seeds = [crc32(w, crc32(b" ", seed)) for seed, w in zip(seeds, words[size - 1 :])]
             found += seeds[max(0, len(carried) - size + 1) :]
         yield len(fresh), found
-        carried = words[len(words) - longest + 1 :] if longest > 1 else []
+        carried = words[max(0, len(words) - longest + 1) :] if longest > 1 else []
         at = cut
 
 
