@@ -24,9 +24,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def one(df):
-    rows = df.collect()
-    assert len(rows) == 1
-    return rows[0].asDict()

@@ -2,10 +2,10 @@ from datetime import date
 
 import pytest
 
-from conftest import one
 from pricelens import fixed_values as fv
 from pricelens.operators import association, cards, detail
 from pyspark.sql import functions as F
+from tests.rows import one
 
 SOLD = """Maps Data: Google © 2026
 Såld 16 mar. 2026
