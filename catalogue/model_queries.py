@@ -10,6 +10,7 @@ from pricelens.functions import text as tx
 from pricelens.operators import features, levels, ols
 from pricelens.operators.quantiles import exact_quantiles
 from pricelens.plans import ablation, hedonic, scoring
+from pricelens.session import cut_lineage
 
 # ---- levels and medians -------------------------------------------------------
 ITEMS = """
@@ -290,37 +291,45 @@ ONSALE = """
 """
 
 
-@query("hedonic_score")
-def hedonic_score(spark, sf):
-    scored = scoring.score_listings(adapt(spark, sf, ONSALE, "orders"), adapt(spark, sf, SOLD, "lineitem"))
-    return scored.select(
-        "listing_id", "predicted_price_kr", "deal_pct", "region", "is_tomratt", "model_key", "model_mape_pct", "stadsdel_resolved", "stadsdel_liquidity"
-    )
-
-
-def _hedonic_statement() -> str:
-    """Holdout metrics of the four models in plain SQL: folds, medians, within-level
-    cross products and a Gauss-Jordan elimination written out pivot by pivot."""
-    xs = ["log_m2", "decade", "floor_no", "lift", "log_fee", "lease", "freehold"]
+def _solved(name: str, xs: list[str], rows: str) -> str:
+    """SQL of a least-squares fit with one intercept per level: within-level cross products of the
+    CTE ``rows`` (model, lvl, y and xs) and a Gauss-Jordan elimination written out pivot by pivot.
+    Leaves mu_<name> (means per level) and beta_<name> (b1, b2 ... per model). A column without variance gets 0."""
     k = len(xs)
-    terms = ", ".join(f"avg({c}) AS m_{c}" for c in [*xs, "y"])
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in [*xs, "y"])
     cells = " UNION ALL ".join(
-        f"SELECT model, {i + 1} AS i, {j + 1} AS j, sum(({a} - m_{a}) * ({b} - m_{b})) AS v FROM c GROUP BY model"
+        f"SELECT model, {i + 1} AS i, {j + 1} AS j, sum(({a} - m_{a}) * ({b} - m_{b})) AS v FROM c_{name} GROUP BY model"
         for i, a in enumerate(xs)
         for j, b in enumerate([*xs, "y"])
     )
-    steps, last = [], "g0"
+    steps, last = [], f"{name}_0"
     for p in range(1, k + 1):
         steps.append(
-            f"""g{p} AS (SELECT a.model, a.i, a.j, CASE WHEN a.i = {p} THEN a.v / d.v ELSE a.v - f.v * r.v / d.v END AS v FROM {last} a
+            f"""{name}_{p} AS (SELECT a.model, a.i, a.j, CASE WHEN abs(d.v) < 1e-9 THEN CASE WHEN a.i = {p} THEN 0 ELSE a.v END
+                WHEN a.i = {p} THEN a.v / d.v ELSE a.v - f.v * r.v / d.v END AS v FROM {last} a
             JOIN (SELECT model, j, v FROM {last} WHERE i = {p}) r ON a.model = r.model AND a.j = r.j
             JOIN (SELECT model, i, v FROM {last} WHERE j = {p}) f ON a.model = f.model AND a.i = f.i
             JOIN (SELECT model, v FROM {last} WHERE i = {p} AND j = {p}) d ON a.model = d.model)"""
         )
-        last = f"g{p}"
+        last = f"{name}_{p}"
     beta = ", ".join(f"max(CASE WHEN i = {i + 1} THEN v END) AS b{i + 1}" for i in range(k))
-    shift = " + ".join(f"b{i + 1} * (t.{x} - m_{x})" for i, x in enumerate(xs))
-    return f"""WITH sold AS ({SOLD}),
+    return f"""mu_{name} AS (SELECT model, lvl, {means} FROM {rows} z GROUP BY model, lvl),
+    c_{name} AS MATERIALIZED (SELECT r.*, mu.* EXCLUDE (model, lvl) FROM {rows} r JOIN mu_{name} mu ON r.model = mu.model AND r.lvl = mu.lvl),
+    {name}_0 AS MATERIALIZED ({cells}), {", ".join(steps).replace(" AS (SELECT a.model", " AS MATERIALIZED (SELECT a.model")},
+    beta_{name} AS (SELECT model, {beta} FROM {last} WHERE j = {k + 1} GROUP BY model)"""
+
+
+def _predicted(xs: list[str], row: str = "t") -> str:
+    """Log price of a row from its level's means ``mu`` and its model's coefficients."""
+    return "m_y + " + " + ".join(f"b{i + 1} * ({row}.{x} - m_{x})" for i, x in enumerate(xs))
+
+
+XS = ["log_m2", "decade", "floor_no", "lift", "log_fee", "lease", "freehold"]
+
+
+def _training_statement() -> str:
+    """CTEs from the sold rows to the filled design ``r`` with folds, levels and medians of the four models."""
+    return f"""sold AS MATERIALIZED ({SOLD}),
     s1 AS (SELECT *, CASE WHEN area LIKE 'Södermalm%' THEN 'Södermalm' WHEN area LIKE 'Vasastan%' THEN 'Vasastan'
           ELSE concat('Nation_', regexp_extract(area, 'NATION_(\\d+)', 1)) END AS coarse,
         CASE WHEN area LIKE 'Södermalm%' THEN concat('Södermalm Nation_', regexp_extract(area, 'NATION_(\\d+)', 1)) WHEN area LIKE 'Vasastan%' THEN 'Vasastan'
@@ -334,17 +343,86 @@ def _hedonic_statement() -> str:
     s6 AS (SELECT model, lvl, pos % 5 = 0 AS is_test, ln(price_kr) AS y, ln(coalesce(nullif(boarea_m2, 0), m2)) AS log_m2, floor(byggar / 10) * 10 AS decade, vaning AS floor_no,
         CASE WHEN hiss THEN 1.0 ELSE 0.0 END AS lift, CASE WHEN fee <> 0 THEN ln(fee + 1) WHEN fee IS NULL AND upplatelseform = 'Äganderätt' THEN 0.0 END AS log_fee,
         CASE WHEN upplatelseform = 'Tomträtt' OR brf_ager_marken = false THEN 1.0 ELSE 0.0 END AS lease, CASE WHEN upplatelseform = 'Äganderätt' THEN 1.0 ELSE 0.0 END AS freehold FROM s5),
-    ml AS (SELECT model, lvl, trunc(median(decade)) AS md, trunc(median(floor_no)) AS mf, median(exp(log_fee) - 1) AS mx FROM s6 GROUP BY model, lvl),
-    mg AS (SELECT model, trunc(median(decade)) AS gd, trunc(median(floor_no)) AS gf, median(exp(log_fee) - 1) AS gx FROM s6 GROUP BY model),
-    r AS (SELECT s6.model, s6.lvl, is_test, y, log_m2, CAST(coalesce(decade, nullif(md, 0), nullif(gd, 0), 1970) AS DOUBLE) AS decade,
+    ml AS MATERIALIZED (SELECT model, lvl, trunc(median(decade)) AS md, trunc(median(floor_no)) AS mf, median(exp(log_fee) - 1) AS mx, avg(lift) > 0.5 AS mh FROM s6 GROUP BY model, lvl),
+    mg AS MATERIALIZED (SELECT model, trunc(median(decade)) AS gd, trunc(median(floor_no)) AS gf, median(exp(log_fee) - 1) AS gx, avg(lift) > 0.5 AS gh FROM s6 GROUP BY model),
+    r AS MATERIALIZED (SELECT s6.model, s6.lvl, is_test, y, log_m2, CAST(coalesce(decade, nullif(md, 0), nullif(gd, 0), 1970) AS DOUBLE) AS decade,
         CAST(coalesce(floor_no, nullif(mf, 0), nullif(gf, 0), 2) AS DOUBLE) AS floor_no, CAST(lift AS DOUBLE) AS lift,
         CAST(coalesce(log_fee, ln(coalesce(nullif(mx, 0), nullif(gx, 0), 4500) + 1)) AS DOUBLE) AS log_fee, CAST(lease AS DOUBLE) AS lease, CAST(freehold AS DOUBLE) AS freehold
       FROM s6 JOIN ml ON s6.model = ml.model AND s6.lvl = ml.lvl JOIN mg ON s6.model = mg.model),
-    mu AS (SELECT model, lvl, {terms} FROM r WHERE NOT is_test GROUP BY model, lvl),
-    c AS (SELECT r.*, mu.* EXCLUDE (model, lvl) FROM r JOIN mu ON r.model = mu.model AND r.lvl = mu.lvl WHERE NOT is_test),
-    g0 AS ({cells}), {", ".join(steps)},
-    beta AS (SELECT model, {beta} FROM {last} WHERE j = {k + 1} GROUP BY model),
-    ape AS (SELECT t.model, abs(exp(m_y + {shift}) - exp(t.y)) / exp(t.y) * 100 AS e FROM r t JOIN mu ON t.model = mu.model AND t.lvl = mu.lvl JOIN beta ON t.model = beta.model WHERE t.is_test)
+    {_solved("holdout", XS, "(SELECT * FROM r WHERE NOT is_test)")},
+    ape AS (SELECT t.model, abs(exp({_predicted(XS)}) - exp(t.y)) / exp(t.y) * 100 AS e FROM r t JOIN mu_holdout mu ON t.model = mu.model AND t.lvl = mu.lvl
+      JOIN beta_holdout beta ON t.model = beta.model WHERE t.is_test)"""
+
+
+def _score_statement() -> str:
+    """Scores in plain SQL: the five nearest sold coordinates vote, the voted district routes to a model and a level, missing values are
+    looked up in two steps, and the fit over all sold rows gives the price."""
+    return f"""WITH {_training_statement()}, {_solved("whole", XS, "r")},
+    ref AS (SELECT model, min(lvl) AS ref FROM mu_whole GROUP BY model),
+    onsale AS MATERIALIZED (SELECT *, concat('Nation_', regexp_extract(area, 'NATION_(\\d+)', 1)) AS own FROM ({ONSALE}) z
+      WHERE bostadstyp IN ('Lägenhet', 'Villa', 'Radhus')),
+    places AS (SELECT DISTINCT lat, lon FROM onsale WHERE lat IS NOT NULL AND lon IS NOT NULL),
+    near AS (SELECT lat, lon, unnest(best) AS b FROM (SELECT p.lat, p.lon, arg_min({{'label': coarse, 'pos': pos, 'd': pow((s1.lat - p.lat) * 111, 2) + pow((s1.lon - p.lon) * 55, 2)}},
+        {{'d': pow((s1.lat - p.lat) * 111, 2) + pow((s1.lon - p.lon) * 55, 2), 'pos': pos}}, 5) AS best FROM places p, s1 GROUP BY p.lat, p.lon) q),
+    rk AS (SELECT lat, lon, b.label AS label, row_number() OVER (PARTITION BY lat, lon ORDER BY b.d, b.pos) AS rk FROM near),
+    votes AS (SELECT lat, lon, label, row_number() OVER (PARTITION BY lat, lon ORDER BY count(*) DESC, min(rk)) AS o FROM rk GROUP BY lat, lon, label),
+    o1 AS (SELECT s.*, v.label AS resolved, CASE WHEN coalesce(v.label, own) IN ('Södermalm', 'Vasastan') THEN 'inner' ELSE 'outer' END AS region,
+        coalesce(v.label, own) AS district FROM onsale s LEFT JOIN (SELECT * FROM votes WHERE o = 1) v ON s.lat = v.lat AND s.lon = v.lon),
+    o2 AS (SELECT *, CASE bostadstyp WHEN 'Villa' THEN 'villa' WHEN 'Radhus' THEN 'row' ELSE concat('apt_', region) END AS model FROM o1),
+    o3 AS (SELECT o.*, CASE WHEN a.lvl IS NOT NULL THEN district WHEN o.model <> 'apt_inner' AND b.lvl IS NOT NULL THEN own ELSE 'Other' END AS lvl
+      FROM o2 o LEFT JOIN ml a ON a.model = o.model AND a.lvl = o.district AND a.lvl <> 'Other' LEFT JOIN ml b ON b.model = o.model AND b.lvl = o.own AND b.lvl <> 'Other'),
+    t AS (SELECT o.*, ln(m2) AS log_m2,
+        CAST(coalesce(floor(nullif(byggar, 0) / 10) * 10, CASE WHEN byggar IS NULL THEN nullif(floor(CASE WHEN d.lvl IS NOT NULL THEN d.md ELSE gd END / 10) * 10, 0) END,
+          nullif(l.md, 0), nullif(gd, 0), 1970) AS DOUBLE) AS decade,
+        CAST(coalesce(vaning, CASE WHEN d.lvl IS NOT NULL THEN d.mf ELSE gf END, nullif(l.mf, 0), nullif(gf, 0), 2) AS DOUBLE) AS floor_no,
+        CASE WHEN coalesce(hiss, CASE WHEN d.lvl IS NOT NULL THEN d.mh ELSE gh END, false) THEN 1e0 ELSE 0e0 END AS lift,
+        coalesce(CASE WHEN fee_kr <> 0 THEN ln(fee_kr + 1) END, CASE WHEN fee_kr IS NULL THEN ln(nullif(CASE WHEN d.lvl IS NOT NULL THEN d.mx ELSE gx END, 0) + 1) END,
+          ln(coalesce(nullif(l.mx, 0), nullif(gx, 0), 4500) + 1)) AS log_fee,
+        CASE WHEN brf_ager_marken = false THEN 1e0 ELSE 0e0 END AS lease, 0e0 AS freehold
+      FROM o3 o JOIN mg ON mg.model = o.model LEFT JOIN ml d ON d.model = o.model AND d.lvl = o.district LEFT JOIN ml l ON l.model = o.model AND l.lvl = o.lvl),
+    priced AS (SELECT t.*, exp({_predicted(XS)}) AS price FROM t JOIN ref ON ref.model = t.model LEFT JOIN (SELECT model, lvl FROM mu_whole) own_mu ON own_mu.model = t.model AND own_mu.lvl = t.lvl
+      JOIN mu_whole mu ON mu.model = t.model AND mu.lvl = coalesce(own_mu.lvl, ref) JOIN beta_whole beta ON beta.model = t.model),
+    liq AS (SELECT coarse, CASE WHEN count(*) >= 20 AND (avg(CASE WHEN price_diff_pct > 0 THEN 100.0 ELSE 0 END) >= 65 OR count(*) >= 60) THEN 'high'
+        WHEN count(*) >= 10 AND avg(CASE WHEN price_diff_pct > 0 THEN 100.0 ELSE 0 END) >= 50 THEN 'medium' ELSE 'low' END AS tier FROM s1 WHERE price_diff_pct IS NOT NULL GROUP BY coarse),
+    scored AS (SELECT listing_id, CAST(round_even(price, 0) AS BIGINT) AS predicted_price_kr, round_even((price - asking_price_kr) / nullif(asking_price_kr, 0) * 100, 1) AS deal_pct, region,
+        lease > 0 AS is_tomratt, p.model AS model_key, mape AS model_mape_pct, resolved AS stadsdel_resolved, coalesce(tier, 'low') AS stadsdel_liquidity
+      FROM priced p LEFT JOIN (SELECT model, round(avg(e), 1) AS mape FROM ape GROUP BY model) m ON m.model = p.model LEFT JOIN liq ON liq.coarse = p.own)"""
+
+
+def _scored(spark, sf):
+    return scoring.score_listings(adapt(spark, sf, ONSALE, "orders"), adapt(spark, sf, SOLD, "lineitem"), is_test=F.col("pos") % 5 == 0)
+
+
+SCORED_COLUMNS = (
+    "listing_id", "predicted_price_kr", "deal_pct", "region", "is_tomratt", "model_key", "model_mape_pct", "stadsdel_resolved", "stadsdel_liquidity",
+)
+
+
+@query("hedonic_score", f"{_score_statement()} SELECT * REPLACE (CASE WHEN deal_pct = 0 THEN 0 ELSE deal_pct END AS deal_pct) FROM scored")
+def hedonic_score(spark, sf):
+    # A gap that rounds to nothing is 0.0 here, never -0.0.
+    plain_zero = F.when(F.col("deal_pct") == 0, 0.0).otherwise(F.col("deal_pct"))
+    return _scored(spark, sf).select(*SCORED_COLUMNS).withColumn("deal_pct", plain_zero)
+
+
+@query(
+    "deal_report",
+    f"""{_score_statement()}, o AS (SELECT *, row_number() OVER (ORDER BY deal_pct DESC, listing_id) AS t, row_number() OVER (ORDER BY deal_pct, listing_id) AS u
+         FROM scored WHERE deal_pct IS NOT NULL)
+       SELECT 'top' AS part, listing_id, deal_pct, predicted_price_kr, model_key FROM o WHERE t <= 10
+       UNION ALL SELECT 'bottom', listing_id, deal_pct, predicted_price_kr, model_key FROM o WHERE u <= 5""",
+)
+def deal_report(spark, sf):
+    """The ten best deals and the five dearest listings of one scored table."""
+    scored = cut_lineage(_scored(spark, sf).select(*SCORED_COLUMNS), "scored")
+    shown = ["listing_id", "deal_pct", "predicted_price_kr", "model_key"]
+    top = scoring.best_deals(scored, 10).select(F.lit("top").alias("part"), *shown)
+    return top.unionByName(scoring.best_deals(scored, 5, ascending=True).select(F.lit("bottom").alias("part"), *shown))
+
+
+def _hedonic_statement() -> str:
+    """Holdout metrics of the four models in plain SQL."""
+    return f"""WITH {_training_statement()}
     SELECT ape.model, CAST(max(n) AS BIGINT) AS n_train, count(*) AS n_test, round(avg(e), 4) AS mape_pct, round(quantile_cont(e, 0.5), 4) AS median_ape_pct, round(quantile_cont(e, 0.9), 4) AS p90_ape_pct
     FROM ape JOIN (SELECT model, count(*) AS n FROM r WHERE NOT is_test GROUP BY model) z ON ape.model = z.model GROUP BY ape.model"""
 
