@@ -327,13 +327,18 @@ def _predicted(xs: list[str], row: str = "t") -> str:
 XS = ["log_m2", "decade", "floor_no", "lift", "log_fee", "lease", "freehold"]
 
 
+def _labels_statement() -> str:
+    """CTE ``s1``: sold rows with their coarse and fine district."""
+    return f"""s1 AS (SELECT *, CASE WHEN area LIKE 'Södermalm%' THEN 'Södermalm' WHEN area LIKE 'Vasastan%' THEN 'Vasastan'
+          ELSE concat('Nation_', regexp_extract(area, 'NATION_(\\d+)', 1)) END AS coarse,
+        CASE WHEN area LIKE 'Södermalm%' THEN concat('Södermalm Nation_', regexp_extract(area, 'NATION_(\\d+)', 1)) WHEN area LIKE 'Vasastan%' THEN 'Vasastan'
+          ELSE concat('Nation_', regexp_extract(area, 'NATION_(\\d+)', 1), ' - ', regexp_extract(area, '(Supplier#\\d+)', 1)) END AS fine FROM sold)"""
+
+
 def _training_statement() -> str:
     """CTEs from the sold rows to the filled design ``r`` with folds, levels and medians of the four models."""
     return f"""sold AS MATERIALIZED ({SOLD}),
-    s1 AS (SELECT *, CASE WHEN area LIKE 'Södermalm%' THEN 'Södermalm' WHEN area LIKE 'Vasastan%' THEN 'Vasastan'
-          ELSE concat('Nation_', regexp_extract(area, 'NATION_(\\d+)', 1)) END AS coarse,
-        CASE WHEN area LIKE 'Södermalm%' THEN concat('Södermalm Nation_', regexp_extract(area, 'NATION_(\\d+)', 1)) WHEN area LIKE 'Vasastan%' THEN 'Vasastan'
-          ELSE concat('Nation_', regexp_extract(area, 'NATION_(\\d+)', 1), ' - ', regexp_extract(area, '(Supplier#\\d+)', 1)) END AS fine FROM sold),
+    {_labels_statement()},
     s2 AS (SELECT *, CASE bostadstyp WHEN 'Villa' THEN 'villa' WHEN 'Radhus' THEN 'row'
           ELSE CASE WHEN coarse IN ('Södermalm', 'Vasastan') THEN 'apt_inner' ELSE 'apt_outer' END END AS model FROM s1),
     s3 AS (SELECT *, CASE WHEN model = 'apt_inner' THEN coarse ELSE fine END AS d0 FROM s2),
@@ -434,6 +439,51 @@ def hedonic_metrics(spark, sf):
     return models.metrics.select("model", "n_train", "n_test", *shown)
 
 
-@query("hedonic_sweep")
+SWEEP_XS = {
+    "baseline": ["log_m2", "decade", "floor_no", "lift", "log_fee"],
+    "ownership": ["log_m2", "decade", "floor_no", "lift", "log_fee", "house", "lease", "freehold"],
+    "association": ["log_m2", "decade", "floor_no", "lift", "log_fee", "house", "lease", "freehold", "impure", "log_debt"],
+}
+
+
+def _sweep_statement() -> str:
+    """Every configuration in plain SQL: a copy of the sold rows per training set, levels and medians of each, and a fit per feature set."""
+    sets = sorted({t for pairs in ablation.config_sets().values() for t, _ in pairs})
+    copies = []
+    for name in sets:
+        encoder, scope, part = name.split("/")
+        where = "true" if scope == "all" else "bostadstyp = 'Lägenhet'"
+        where += {"whole": "", "inner": " AND coarse IN ('Södermalm', 'Vasastan')", "outer": " AND coarse NOT IN ('Södermalm', 'Vasastan')"}[part]
+        copies.append(f"SELECT *, '{name}' AS model, {encoder} AS d0, {str(encoder == 'fine').lower()} AS folds FROM s1 WHERE {where}")
+    fits = ", ".join(_solved(name, xs, "(SELECT * FROM r WHERE NOT is_test)") for name, xs in SWEEP_XS.items())
+    errors = " UNION ALL ".join(
+        f"""SELECT t.model, '{name}' AS feature_set, abs(exp({_predicted(xs)}) - exp(t.y)) / exp(t.y) * 100 AS e FROM t JOIN mu_{name} mu ON t.model = mu.model AND t.seen = mu.lvl
+        JOIN beta_{name} beta ON beta.model = t.model"""
+        for name, xs in SWEEP_XS.items()
+    )
+    configs = ", ".join(f"('{c}', '{t}', '{f}')" for c, pairs in ablation.config_sets().items() for t, f in pairs)
+    return f"""WITH sold AS MATERIALIZED ({SOLD}), {_labels_statement()},
+    s2 AS ({" UNION ALL ".join(copies)}),
+    s4 AS (SELECT *, CASE WHEN folds AND count(*) OVER (PARTITION BY model, d0) < 8 THEN coarse ELSE d0 END AS d1 FROM s2),
+    s5 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY model, d1) >= 4 THEN d1 ELSE 'Other' END AS lvl, coalesce(nullif(avgift_kr_mon, 0), fee_kr) AS fee FROM s4),
+    s6 AS MATERIALIZED (SELECT model, lvl, pos % 5 = 0 AS is_test, ln(price_kr) AS y, ln(coalesce(nullif(boarea_m2, 0), m2)) AS log_m2, floor(byggar / 10) * 10 AS decade, vaning AS floor_no,
+        CASE WHEN hiss THEN 1e0 ELSE 0e0 END AS lift, CASE WHEN fee <> 0 THEN ln(fee + 1) WHEN fee IS NULL AND upplatelseform = 'Äganderätt' THEN 0e0 END AS log_fee,
+        ln(brf_belaning_kr_m2 + 1) AS log_debt, CASE WHEN brf_akta = false THEN 1e0 ELSE 0e0 END AS impure, CASE WHEN bostadstyp IN ('Villa', 'Radhus') THEN 1e0 ELSE 0e0 END AS house,
+        CASE WHEN upplatelseform = 'Tomträtt' OR brf_ager_marken = false THEN 1e0 ELSE 0e0 END AS lease, CASE WHEN upplatelseform = 'Äganderätt' THEN 1e0 ELSE 0e0 END AS freehold FROM s5),
+    ml AS MATERIALIZED (SELECT model, lvl, trunc(median(decade)) AS md, trunc(median(floor_no)) AS mf, median(exp(log_fee) - 1) AS mx, median(exp(log_debt) - 1) AS mb FROM s6 GROUP BY model, lvl),
+    mg AS MATERIALIZED (SELECT model, trunc(median(decade)) AS gd, trunc(median(floor_no)) AS gf, median(exp(log_fee) - 1) AS gx, median(exp(log_debt) - 1) AS gb, min(lvl) AS ref FROM s6 GROUP BY model),
+    r AS MATERIALIZED (SELECT s6.* REPLACE (CAST(coalesce(decade, nullif(md, 0), nullif(gd, 0), 1970) AS DOUBLE) AS decade, CAST(coalesce(floor_no, nullif(mf, 0), nullif(gf, 0), 2) AS DOUBLE) AS floor_no,
+        CAST(coalesce(log_fee, ln(coalesce(nullif(mx, 0), nullif(gx, 0), 4500) + 1)) AS DOUBLE) AS log_fee, CAST(coalesce(log_debt, ln(coalesce(nullif(mb, 0), nullif(gb, 0), 5000) + 1)) AS DOUBLE) AS log_debt)
+      FROM s6 JOIN ml ON s6.model = ml.model AND s6.lvl = ml.lvl JOIN mg ON s6.model = mg.model),
+    {fits},
+    t AS (SELECT r.*, coalesce(k.lvl, ref) AS seen FROM r JOIN mg ON mg.model = r.model LEFT JOIN (SELECT model, lvl FROM mu_baseline) k ON k.model = r.model AND k.lvl = r.lvl WHERE is_test),
+    m AS (SELECT model, feature_set, count(*) AS n, avg(e) AS mape FROM ({errors}) e GROUP BY model, feature_set),
+    n AS (SELECT model, count(*) AS n_train FROM r WHERE NOT is_test GROUP BY model)
+    SELECT config, CAST(sum(n) AS BIGINT) AS n_test, CAST(sum(n_train) AS BIGINT) AS n_train, round(sum(n * mape) / sum(n), 4) AS mape_pct
+    FROM (VALUES {configs}) c(config, model, feature_set) JOIN m USING (model, feature_set) JOIN n USING (model) GROUP BY config"""
+
+
+@query("hedonic_sweep", _sweep_statement())
 def hedonic_sweep(spark, sf):
-    return ablation.sweep(adapt(spark, sf, SOLD, "lineitem"))[1]
+    total = ablation.sweep(adapt(spark, sf, SOLD, "lineitem"), F.col("pos") % 5 == 0)[1]
+    return total.withColumn("mape_pct", F.round("mape_pct", 4))
