@@ -121,8 +121,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no window of a benchmark item, as they are."""
-    keyed = with_row_key(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    """The documents that hold no window of a benchmark item, as they are. Repeated rows and ids are judged by their own
+    text, a very long one as a whole; columns of any name come back unchanged."""
+    keyed = with_row_key(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     found = written(occurrences(keyed.select("doc_id", "row_hash", "text"), written(item_windows(benchmark, window), "windows")), "occurrences")
     hit = found.select("doc_id", "row_hash").distinct()
     return keyed.join(hit, same_row(keyed, hit), "left_anti").select("_row.*")

@@ -27,6 +27,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricelens.llm.tables import written
 
@@ -133,8 +134,10 @@ def noise(doc_id: str, seed: int = SEED) -> Column:
 def weighed(docs: DataFrame, target: DataFrame, keep: list[str], longest: int = LONGEST, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """The columns ``keep`` of docs (doc_id, text and others) with n_words, n_features, weight and score."""
     narrow = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text")
-    out = narrow.mapInArrow(_weights(gains(docs, target, longest, buckets), longest), f"{kinds}, n_words long, n_features long, weight long")
+    schema = StructType([f for f in narrow.schema.fields if f.name != "text"])
+    for name in ("n_words", "n_features", "weight"):
+        schema = schema.add(name, "long")
+    out = narrow.mapInArrow(_weights(gains(docs, target, longest, buckets), longest), schema)
     return out.withColumn("score", F.col("weight") + noise("doc_id", seed))
 
 

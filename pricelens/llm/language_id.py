@@ -7,7 +7,7 @@ language in hash order, and holds at most ``WORDS`` words and ``GRAMS`` n-grams
 it may be broadcast; every document is scored on its whole text.
 
 Defined cases: null text, text without letters and an empty sample give ``und`` with score 0; rows
-with a null lang teach nothing; ties go to the first language in order; repeated rows are rows;
+with a null lang or doc_id teach nothing; ties go to the first language in order; repeated rows are rows;
 an empty table gives an empty table; other columns are never inputs of a prediction.
 """
 
@@ -21,10 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricelens.llm.tables import written
 
 PER_LANGUAGE, WORDS, GRAMS = 2000, 30_000, 30_000
+#: Buckets of document hashes, as a power of two, that the sample is counted in.
+SAMPLE_BITS = 16
 LONGEST = 5
 DISCOUNT = 0.5
 #: Words that a long text's score counts for, and the score below which the corpus filter rejects.
@@ -52,8 +55,14 @@ def _vectors(rows: list, name: str, langs: list[str], totals: dict[str, int]) ->
 def learn(docs: DataFrame) -> dict:
     """The model from doc_id, text and lang of labelled documents."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = written(known.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id").distinct(), "sample")
+    # Which hash buckets hold the first documents of a language is counted, so only few rows are ordered.
+    known = known.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.shiftright("h", 64 - SAMPLE_BITS))
+    counts = written(known.groupBy("lang", "bucket").agg(F.count("*").alias("n")), "hash_counts")
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("bucket")) - F.col("n")
+    first = written(counts.withColumn("before", before).where(F.col("before") < PER_LANGUAGE).select("lang", "bucket"), "first")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = known.join(first, ["lang", "bucket"], "left_semi").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
+    ids = written(ids.select("doc_id").distinct(), "sample")
     sample = docs.where("lang is not null and text is not null").join(ids, "doc_id", "left_semi")
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
@@ -94,7 +103,7 @@ def _predict(model):
         table = np.array([known[w] for w in names]).reshape(len(names), len(langs))
         cache: dict[str, np.ndarray] = {}
         for batch in batches:
-            column = batch.column("text")
+            column = batch.column("text") if "text" in batch.schema.names else batch.column("_row").field("text")
             predicted, scores = [], []
             for i in range(batch.num_rows):
                 words = Counter(WORD.findall((column[i].as_py() or "").lower()))
@@ -121,7 +130,7 @@ def _predict(model):
                 best = int(np.argmax(odds))
                 predicted.append(langs[best])
                 scores.append(float(odds[best] / odds.sum()))
-            keep = [n for n in batch.schema.names if n != "text_only"]
+            keep = batch.schema.names
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in keep), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
             )
@@ -132,8 +141,7 @@ def _predict(model):
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(shared), f"{columns}, lang_pred string, score double")
+    return docs.mapInArrow(_predict(shared), StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def held_out(docs: DataFrame):
@@ -147,8 +155,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is one of those learned, with at least ``min_score``."""
-    taken = {f"_c{i}": c for i, c in enumerate(docs.columns) if c in ("lang_pred", "score")}
-    safe = docs.withColumnsRenamed({c: n for n, c in taken.items()})
-    out = predict(safe, learn(docs.where(~held_out(docs)))).where(f"lang_pred <> 'und' and score >= {min_score}")
-    return out.drop("lang_pred", "score").withColumnsRenamed(taken).select(*docs.columns)
+    """The documents whose language is one of those learned, with at least ``min_score``. Repeated rows and ids
+    are rows like others, a very long text is scored whole, and columns of any name come back unchanged."""
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    learned = learn(docs.select("doc_id", "text", "lang").where(~held_out(docs)))
+    return predict(carried, learned).where(f"lang_pred <> 'und' and score >= {min_score}").select("_row.*")

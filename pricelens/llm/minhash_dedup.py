@@ -1,7 +1,7 @@
 """Near copies by MinHash: universal hash minima, bands, signature check, exact check, components.
 
-Rows with the same shingle set are one class, named by its least doc_id, and only classes are
-compared. ``ROWS * BANDS`` minima of a class make ``BANDS`` band keys: two sets of similarity 0.85
+Rows with the same shingle set are one class with a number of its own, and only classes are
+compared; doc_ids only name the components in the end, so rows that share an id but not the text are told apart. ``ROWS * BANDS`` minima of a class make ``BANDS`` band keys: two sets of similarity 0.85
 share none with probability (1 - 0.85**5)**30 = 2e-8. Classes with a band in common are
 candidates. First every class is compared with the least class of each of its bands; of what
 that leaves in different components, the pairs of a band whose signatures agree enough are
@@ -12,8 +12,9 @@ components come out as if all pairs had been.
 
 Defined cases: null text and texts without words have an empty set and are linked with nothing;
 with fewer words than a shingle the whole sequence is one shingle; a null doc_id is linked with
-nothing, and its component is null; equal rows fall in one class; an empty table gives an empty
-table; other columns are not read.
+nothing, and its component is null; equal rows fall in one class; rows that share a doc_id are linked by their texts alone, and
+each gets its own text's component; ids may be of any type with an order; very long texts are one slice each; an empty table gives an empty
+table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pricelens.llm import words as W
 from pricelens.llm.components import components
-from pricelens.llm.tables import written
+from pricelens.llm.tables import with_row_key, written
 
 SHINGLE = 5
 ROWS, BANDS = 5, 30
@@ -81,6 +82,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(lo, hi - lo),
+                    batch.column("row_hash").slice(lo, hi - lo),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(sums[0].view(np.int64)),
                     pa.array(sums[1].view(np.int64)),
@@ -89,7 +91,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ),
                     pa.array([x.tobytes() for x in signature], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set1", "set2", "bands", "signature"],
+                names=["doc_id", "row_hash", "n_shingles", "set1", "set2", "bands", "signature"],
             )
 
 
@@ -158,23 +160,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed", big=True)
 
 
-def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+SET = ["n_shingles", "set1", "set2"]
+
+
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a set (doc_id, row_hash and the set), and per set: rep, head (the least row with it), component."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     signed = written(
-        docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, signature binary"), "signatures"
+        docs.mapInArrow(_signatures, f"doc_id {kind}, row_hash long, n_shingles long, set1 long, set2 long, bands array<long>, signature binary"), "signatures"
     )
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(linked.groupBy("n_shingles", "set1", "set2").agg(F.min("doc_id").alias("rep")), "classes", big=True)
-    named = linked.join(classes, ["n_shingles", "set1", "set2"])
-    copies = named.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = named.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "bands", "signature")
+    heads = linked.groupBy(*SET).agg(F.min(F.struct("doc_id", "row_hash")).alias("head"))
+    # Numbers are given as the table is written, once.
+    classes = written(heads.withColumn("rep", F.monotonically_increasing_id()), "classes", big=True)
+    row = F.struct("doc_id", "row_hash")
+    reps = linked.join(classes, SET).where(row == F.col("head")).dropDuplicates(["rep"]).select("rep", "bands", "signature")
+    reps = written(reps, "reps", big=True)
     keyed = written(reps.select("rep", F.posexplode("bands").alias("bands_at", "band")), "bands")
     centres = keyed.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).where("members > 1")
     shared = written(keyed.join(centres, "band"), "shared", big=True)
     stars = shared.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = shared.select("rep").distinct()
-    texts = written(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "text").dropDuplicates(["rep"]), "texts", big=True)
+    wanted = classes.join(shared.select("rep").distinct(), "rep").select("rep", F.col("head.doc_id").alias("_id"), F.col("head.row_hash").alias("_hash"))
+    texts = docs.join(wanted, (docs["doc_id"] == F.col("_id")) & (docs["row_hash"] == F.col("_hash")))
+    texts = written(texts.select("rep", "text").dropDuplicates(["rep"]), "texts", big=True)
     links = _confirmed(stars, texts, percent)
     so_far = components(links)
 
@@ -192,22 +200,36 @@ def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     more = written(dealt.groupBy("band", "first", "second").applyInArrow(_links_of_block(percent), "a long, b long"), "more", big=True)
-    links = links.union(more)
-    found = components(links.union(copies))
-    return signed.join(found, signed["doc_id"] == found["node"], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        (F.col("component").isNull() | (F.col("component") == F.col("doc_id"))).alias("kept"),
+    found = components(links.union(more))
+    placed = classes.join(found, classes["rep"] == found["node"], "left").select(*SET, "rep", "head", F.coalesce("component", "rep").alias("component"))
+    return signed, written(placed, "placed")
+
+
+def near_copies(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the least doc_id of the component), kept."""
+    signed, placed = _labelled(with_row_key(docs.select("doc_id", "text")), percent)
+    named = placed.groupBy("component").agg(F.min("head.doc_id").alias("component_id"))
+    labels = written(placed.join(named, "component").select(*SET, "component_id"), "labels")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return signed.join(labels, SET, "left").select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents without near copies: of each component the one with the least doc_id stays. Of rows
-    that share that doc_id one stays."""
-    found = near_copies(docs, percent)
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    linked = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = left.join(linked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(linked, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    """The documents without near copies: of each component the row with the least doc_id stays, and of
+    several with that id the one whose text has the least hash; of repeated rows one. Rows that are linked with nothing
+    stay as they are: those without words or without an id, and every text without a copy, whatever other rows share its id.
+    Columns of any name come back unchanged."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = with_row_key(docs.select("doc_id", "text", F.struct(*columns).alias("_row")))
+    signed, placed = _labelled(keyed.select("doc_id", "text", "row_hash"), percent)
+    heads = placed.groupBy("component").agg(F.min("head").alias("head")).select("head.doc_id", "head.row_hash")
+    heads = written(heads, "heads")
+    able = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "row_hash").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = written(heads.join(able, ["doc_id", "row_hash"], "left_semi"), "repeated")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(~alone).join(heads, ["doc_id", "row_hash"], "left_semi")
+    once = kept.join(repeated, ["doc_id", "row_hash"], "left_semi").dropDuplicates(["doc_id", "row_hash"])
+    kept = kept.join(repeated, ["doc_id", "row_hash"], "left_anti").unionByName(once)
+    return keyed.where(alone).select("_row.*").unionByName(kept.select("_row.*"))

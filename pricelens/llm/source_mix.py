@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     names = {"_hash": hexed, "_bucket": F.substring(hexed, 1, BUCKET_DIGITS)}
     texts = [F.md5(F.coalesce("text", F.lit(""))).alias("_text")] if "text" in docs.columns else []
     # The other columns are carried in one, so that none clashes with a name used here.
-    keyed = docs.select("doc_id", "source", F.struct(*docs.columns).alias("_row"), *texts).withColumns(names)
+    keyed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *texts).withColumns(names)
     counts = written(keyed.groupBy("source", "_bucket").agg(F.count("*").alias("n")), "counts")
     sizes = counts.groupBy("source").agg(F.sum("n").alias("n"))
     given = default_weights(sizes) if weights is None else weights
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     end = ends.agg(F.min(slot).alias("_end"))
     placed = placed.withColumn("slot", slot).withColumn("place", F.col("slot") * block + F.expr(f"_k % {block}"))
     out = placed.join(F.broadcast(end)).withColumn("in_mix", F.col("slot") < F.col("_end"))
-    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("slot", "place", "in_mix")], "slot", "place", "in_mix")
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("slot", "place", "in_mix")], "slot", "place", "in_mix")
 
 
 ORACLE = f"""

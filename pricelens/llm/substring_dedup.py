@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricelens.llm import words as W
 from pricelens.llm.repeats import Keyed, repeated_places
@@ -158,14 +159,14 @@ def digest(docs: DataFrame, window: int = 35) -> DataFrame:
 def strip_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """The documents without the words of repeated windows; what stays keeps its spacing. Rows that
     lose nothing come back as they are, rows of which no word is left go. ``n_chars``, when there,
-    is counted again."""
+    is counted again. Repeated rows and ids are rows like others, a very long text is stripped as a whole, and
+    the other columns, whatever their names, come back unchanged."""
     columns = docs.columns
-    keyed = with_row_key(docs.select("doc_id", "text", F.struct(*[c for c in columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("rest")))
+    keyed = with_row_key(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("rest")))
     found = repeated_windows(keyed, window)
     rows = keyed.join(found, same_row(keyed, found), "left").select(keyed["doc_id"], "text", "rest", "places", "spans")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(_strip(window), f"doc_id {kinds['doc_id']}, text string, rest {kinds['rest']}, none_left boolean")
-    out = out.where("not none_left").select(*[c if c in ("doc_id", "text") else f"rest.{c}" for c in columns])
+    out = rows.mapInArrow(_strip(window), StructType([f for f in rows.schema.fields if f.name not in ("places", "spans")]).add("none_left", "boolean"))
+    out = out.where("not none_left").select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns])
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return out.select(*[F.col(f"`{c}`") for c in columns])

@@ -166,6 +166,98 @@ def test_near_copy_stage_from_80_percent(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, df, "").collect()) == want
 
 
+def odd_ids(spark, text_id):
+    """Repeated ids with unrelated texts, copies under several ids, repeated rows, odd column names."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefg"}
+    near = texts["a"].replace("a30 ", "zz ")
+    rows = [(1, texts["a"]), (1, texts["c"]), (5, texts["b"]), (2, texts["d"]), (2, texts["e"]), (3, texts["e"]), (4, texts["d"]), (7, near), (0, texts["f"]), (0, texts["f"])]
+    rows += [(8, texts["f"]), (9, None), (9, ""), (None, texts["g"]), (None, texts["g"]), (10, " . "), (11, "a b"), (12, "A b")]
+    rows = [(None if i is None else text_id(i), t, "en", "s", k, k, k, k) for k, (i, t) in enumerate(rows)]
+    kind = "string" if isinstance(rows[0][0], str) else "long"
+    return spark.createDataFrame(rows, f"doc_id {kind}, text string, lang string, source string, `a.b` int, Score int, Slot int, text_only int").repartition(4)
+
+
+@pytest.mark.parametrize("text_id", [int, lambda i: f"d{i:02}"])
+def test_keep_one_loses_no_text(spark, text_id):
+    df = odd_ids(spark, text_id)
+    rows = df.collect()
+    sets, parent = {}, {}
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(r["text"]))
+        sets[r["a.b"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w and r["doc_id"] is not None else set()
+        parent[r["a.b"]] = r["a.b"]
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    groups = {}
+    for r in rows:
+        groups.setdefault(root(r["a.b"]), []).append(r)
+    got = {(r["doc_id"], r["a.b"]): r for r in minhash_dedup.keep_one(df, 80).collect()}
+    assert len(got) == len(groups)
+    for members in groups.values():
+        kept = [r for r in members if (r["doc_id"], r["a.b"]) in got]
+        assert len(kept) == 1 and got[kept[0]["doc_id"], kept[0]["a.b"]] == kept[0]
+        assert kept[0]["doc_id"] == min((r["doc_id"] for r in members), key=lambda i: (i is not None, i))
+    named = {}
+    for r in minhash_dedup.near_copies(df, 80).collect():
+        named.setdefault((r["doc_id"], r["n_shingles"]), set()).add((r["component_id"], r["kept"]))
+    least = lambda i: min(r["doc_id"] for r in groups[root(i)])
+    want = {}
+    for r in rows:
+        own = None if r["doc_id"] is None else least(r["a.b"])
+        n = len({tuple(w[k : k + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(r["text"]))] if w for k in range(max(1, len(w) - 4))})
+        want.setdefault((r["doc_id"], n), set()).add((own, own is None or own == r["doc_id"]))
+    assert named == want
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    df = odd_ids(spark, int)
+    bench = spark.createDataFrame([(1, "no such words")], "item_id long, text string")
+    key = lambda out: Counter(tuple(r[c] for c in df.columns if c != "text") for r in out.collect())
+    whole = key(df)
+    kept = language_id.keep_known(df, 0.0)
+    assert kept.columns == df.columns and key(kept) <= whole and len(key(kept)) > 10
+    assert key(decontamination.clean(df, bench)) == whole
+    stripped = substring_dedup.strip_repeats(df, 61)
+    assert stripped.columns == df.columns and key(stripped) <= whole
+    mixed = source_mix.mix(df)
+    assert mixed.columns == [*[c for c in df.columns if c != "Slot"], "slot", "place", "in_mix"] and mixed.count() == df.count()
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    """run() on a small corpus: copies, a shared passage, a benchmark passage and foreign letters; values included."""
+    rng = random.Random(21)
+    pools = {"en": "the of and to in is that it".split(), "de": "der die und das ist von mit im".split()}
+    word = lambda lang: rng.choice(pools[lang]) if rng.random() < 0.4 else f"{'th' if lang == 'en' else 'sch'}{rng.randrange(10**5)}er"
+    rows = [(i, " ".join(word(lang) for _ in range(50)), lang, "ab"[i % 3 > 0]) for i in range(60) for lang in ("en" if i % 2 else "de",)]
+    rows += [(100 + i, rows[i][1], rows[i][2], "a") for i in range(5)]  # copies
+    rows += [(110, rows[7][1].rsplit(" ", 3)[0] + " one more end", "en", "b")]  # a near copy
+    passage = " ".join(word("en") for _ in range(45))
+    rows += [(120 + i, f"{' '.join(word('en') for _ in range(40))} {passage} {' '.join(word('en') for _ in range(40))}", "en", "a") for i in range(3)]
+    item = " ".join(word("en") for _ in range(14))
+    rows += [(130, f"{' '.join(word('en') for _ in range(30))} {item}", "en", "b"), (140, None, "en", "a"), (141, "123 456", "en", "a"), (142, "", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r["doc_id"]: r for r in out.collect()}
+    texts = {i: t for i, t, *_ in rows}
+    with_words = [(i, t) for i, t, *_ in rows if i not in (140, 141, 142)]
+    alone = {i for i, _, _, kept in brute_components(with_words, 80) if kept}
+    assert alone == set(texts) - {100, 101, 102, 103, 104, 110, 140, 141, 142}
+    assert set(got) == alone - {130}
+    for i, r in got.items():
+        want = " ".join(texts[i].split()[:40] + texts[i].split()[-40:]) if i in (120, 121, 122) else texts[i]
+        assert " ".join(r["text"].split()) == want
+        assert (r["lang"], r["source"]) == next((lang, s) for j, _, lang, s in rows if j == i)
+    assert len({r["place"] for r in got.values()}) == len(got)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60), (60, 50), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
