@@ -1,16 +1,16 @@
 """Licence notices by a positional index of rare words.
 
 The index holds where each word stands in each licence template. A file is looked up by the rarest
-words of each template (highest inverse document frequency over all documents): each place of such
-a word, less its place in the template, is a vote for where the template would start, with the
-word's weight. A template's look-up words weigh more than what a stretch may lack, so every start
-with enough coverage has votes: at least their weight less what may be lacking. Starts with that
-much are compared word by word; the weight of the words that match there is the coverage. A
-template counts with a coverage of ``COVERAGE`` and its key phrase inside the stretch.
+words of each template (highest inverse document frequency over all documents), which together weigh more than what a notice may
+lack. Their places in the file are intersected by position: only where enough of that weight stands within a template's length and ``GAP``
+words can the template be. Such stretches are aligned word by word in order, so inserted, missing and changed words cost only their own
+weight; the weight in common is the coverage. A template counts with a coverage of ``COVERAGE`` and all its key phrases, word for word,
+inside the stretch: they tell versions and families apart. Where notices of several labels cover the same words, the one with the most weight
+in common has them.
 Templates whose words, all taken, are too light in the file are left out before any position is read.
 
 Defined cases: null text is empty; no label is an empty string; repeated rows are rows; ties in
-rarity go by word; an empty table gives an empty table; other columns are not read.
+rarity go by word, ties in weight by label; very long texts are read whole; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,20 +27,40 @@ from pyspark.sql import functions as F
 from pricelens.llm.tables import written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Look-up words that a template has at least, and the share of its weight that has to match.
-RAREST, COVERAGE = 6, 0.7
+#: Look-up words that a template has at least, the share of its weight that has to match, and words that may be inserted.
+RAREST, COVERAGE, GAP = 6, 0.7, 6
 
-# The phrases that count by themselves, and notices with their key phrase.
+# The phrases that count by themselves, and notices with their key phrases.
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+LATER = "as published by the free software foundation either version"
+COMMONS = "this work is licensed under a creative commons"
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
-    ("mit", "released under the mit license", "mit license"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2", "general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted",)),
+    ("mit", "released under the mit license", ("mit license",)),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("source and binary",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("is hereby granted", "for any purpose")),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    ("gpl-3", f"this program {FREE} general public license version 3", ("gnu general public license", "version 3")),
+    ("gpl-3", f"this program {FREE} general public license {LATER} 3 of the license", ("gnu general public license", "version 3")),
+    ("gpl-2", f"this program {FREE} general public license version 2", ("gnu general public license", "version 2")),
+    ("gpl-2", f"this program {FREE} general public license {LATER} 2 of the license", ("gnu general public license", "version 2")),
+    ("lgpl-2", f"this library {FREE} lesser general public license version 2", ("gnu lesser general public license", "version 2")),
+    ("lgpl-2.1", f"this library {FREE} lesser general public license version 2 1", ("gnu lesser general public license", "version 2 1")),
+    ("lgpl-2.1", f"this library {FREE} lesser general public license {LATER} 2 1 of the license", ("gnu lesser general public license", "version 2 1")),
+    ("lgpl-3", f"this library {FREE} lesser general public license version 3", ("gnu lesser general public license", "version 3")),
+    ("lgpl-3", f"this library {FREE} lesser general public license {LATER} 3 of the license", ("gnu lesser general public license", "version 3")),
+    ("agpl-3", f"this program {FREE} affero general public license version 3", ("gnu affero general public license", "version 3")),
+    ("agpl-3", f"this program {FREE} affero general public license {LATER} 3 of the license", ("gnu affero general public license", "version 3")),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("cc-by", f"{COMMONS} attribution 4 0 international license", ("creative commons attribution",)),
+    ("cc-by-sa", f"{COMMONS} attribution sharealike 4 0 international license", ("attribution sharealike",)),
+    ("cc-by-nc", f"{COMMONS} attribution noncommercial 4 0 international license", ("attribution noncommercial",)),
+    ("cc-by-nc-sa", f"{COMMONS} attribution noncommercial sharealike 4 0 international license", ("attribution noncommercial sharealike",)),
+    ("cc-by-nd", f"{COMMONS} attribution noderivatives 4 0 international license", ("attribution noderivatives",)),
+    ("cc-by-nc-nd", f"{COMMONS} attribution noncommercial noderivatives 4 0 international license", ("attribution noncommercial noderivatives",)),
 )
 
 
@@ -65,53 +85,80 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
+def in_common(template: list[bytes], stretch: list[tuple[int, bytes]], idf: dict[bytes, float]) -> tuple[float, int, int]:
+    """Greatest weight that a template and (place, word) pairs have in common in order, and the first and last place of it."""
+    rows: list[tuple[float, int, int]] = [(0.0, 0, 0)] * (len(template) + 1)
+    for place, word in stretch:
+        last = rows[0]
+        for o, w in enumerate(template):
+            above = rows[o + 1]
+            if w == word:
+                weight, first, _ = last
+                taken = (weight + idf[w], first if weight else place, place)
+                if taken[0] > above[0]:
+                    rows[o + 1] = taken
+            if rows[o][0] > rows[o + 1][0]:
+                rows[o + 1] = rows[o]
+            last = above
+    return rows[-1]
+
+
+def settled(found: list[tuple[str, float, float, int, int]]) -> list[tuple[str, float]]:
+    """(label, coverage) of those of (label, coverage, weight, first, last) that no heavier one of another label overlaps by half."""
+    kept: list[tuple[str, float, float, int, int]] = []
+    for f in sorted(found, key=lambda f: (-f[2], f[0], f[3], -f[1])):
+        if all(f[0] == k[0] or 2 * (min(f[4], k[4]) - max(f[3], k[3]) + 1) < min(f[4] - f[3], k[4] - k[3]) + 1 for k in kept):
+            kept.append(f)
+    return [(label, cover) for label, cover, *_ in kept]
+
+
 def _scan(idf: dict[bytes, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = [(p.encode().split(), label) for p, label in BASE]
-        templates = [(label, text.encode().split(), key.encode().split()) for label, text, key in TEMPLATES]
+        templates = [(label, text.encode().split(), [k.encode().split() for k in keys]) for label, text, keys in TEMPLATES]
         weights = [sum(idf[w] for w in words) for _, words, _ in templates]
-        postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(templates):
-            for i, w in enumerate(words):
-                postings[w].append((t, i))
+        postings = {w for _, words, _ in templates for w in words}
         ends = {p[-1] for p, _ in base}
-        lookup: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        lookup: list[frozenset[bytes]] = []
         least = []
         for t, (_, words, _) in enumerate(templates):
-            held, lacking = 0.0, (1 - COVERAGE) * weights[t]
+            held, lacking, chosen = 0.0, (1 - COVERAGE) * weights[t], []
             for n, w in enumerate(sorted(set(words), key=lambda w: (-idf[w], w))):
                 if n >= RAREST and held > lacking:
                     break
-                places = [x for x in postings[w] if x[0] == t]
-                lookup[w] += places
-                held += idf[w] * len(places)
+                chosen.append(w)
+                held += idf[w] * words.count(w)
+            lookup.append(frozenset(chosen))
             least.append(held - lacking - 1e-9)
 
         def aligned(words: list[bytes], present: set[bytes]) -> list[tuple[str, float]]:
-            able = {t for t, (_, text, _) in enumerate(templates) if sum(idf[w] for w in text if w in present) >= COVERAGE * weights[t]}
+            able = [t for t, (_, text, _) in enumerate(templates) if sum(idf[w] for w in text if w in present) >= COVERAGE * weights[t]]
             if not able:
                 return []
-            votes: dict[tuple[int, int], float] = defaultdict(float)
-            for i, w in enumerate(words):
-                for t, o in lookup.get(w, ()):
-                    if t in able:
-                        votes[t, i - o] += idf[w]
+            known = [(i, w) for i, w in enumerate(words) if w in present]
             found = []
-            for (t, start), weight in votes.items():
-                label, text, key = templates[t]
-                if weight < least[t] or start < 0:
-                    continue
-                stretch = words[start : start + len(text)]
-                cover = sum(idf[w] for w, x in zip(text, stretch) if w == x) / weights[t]
-                if cover >= COVERAGE and any(stretch[i : i + len(key)] == key for i in range(len(stretch))):
-                    found.append((label, cover))
-            return found
+            for t in able:
+                label, text, keys = templates[t]
+                mine, rare = set(text), lookup[t]
+                at = [(i, w) for i, w in known if w in mine]
+                reach, hi, near = len(text) + GAP, 0, 0.0
+                for lo, (start, word) in enumerate(at):
+                    while hi < len(at) and at[hi][0] < start + reach:
+                        near += idf[at[hi][1]] if at[hi][1] in rare else 0.0
+                        hi += 1
+                    if near >= least[t]:
+                        weight, first, last = in_common(text, at[lo:hi], idf)
+                        stretch = words[start : start + reach]
+                        if weight >= COVERAGE * weights[t] and all(any(stretch[i : i + len(k)] == k for i in range(len(stretch))) for k in keys):
+                            found.append((label, weight / weights[t], weight, first, last))
+                    near -= idf[word] if word in rare else 0.0
+            return settled(found)
 
         for batch in batches:
             out: list[tuple] = []
             for text in batch.column("text").cast(pa.binary()):
                 words = _words(text.as_py())
-                present = postings.keys() & set(words)
+                present = postings & set(words)
                 places, labels = [], set()
                 if present & ends:
                     where: dict[bytes, list[int]] = defaultdict(list)

@@ -394,30 +394,77 @@ def test_license_scan(docs):
     assert (got[6]["n_words"], got[6]["first_word"], got[6]["labels"], got[6]["score"]) == (0, None, "", 0.0)
 
 
-def test_license_scan_finds_every_notice(spark):
+NOTICES = [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+    ("This program is free software you can redistribute it and/or modify it under the terms of the GNU General Public License version 3", "gpl-3"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3", "agpl-3"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2", "lgpl-2"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+    ("Permission is hereby granted, free of charge, to any individual person obtaining a copy of this software and associated documentation files", "mit"),
+    ("This work is licensed under the terms of the GNU General Public License version 3", "gpl-3"),
+    ("Redistribution and use in source and binary form, with or without modification, are permitted", "bsd"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"),
+    ("nothing of the kind is said in this text about any license or its version", ""),
+]
+
+
+def test_license_scan_tells_families_apart(spark):
+    files = [f"Some words before. {text}. And the words after it." for text, _ in NOTICES] + [" x y z ".join(t for t, _ in NOTICES[:6:5])]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(files)] + [(100, None), (101, "q " * 200_000 + files[0])], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == [label for _, label in NOTICES]
+    assert got[len(NOTICES)] == "gpl-3,lgpl-2.1" and got[100] == "" and got[101] == "gpl-3"
+
+
+def brute_common(template, words, idf):
+    """(weight, first, last) of the heaviest common subsequence, over whole tables of both."""
+    best = [[(0.0, 0, 0)] * (len(template) + 1) for _ in range(len(words) + 1)]
+    for i, (place, word) in enumerate(words):
+        for o, w in enumerate(template):
+            options = [best[i][o + 1], best[i + 1][o]]
+            if w == word:
+                weight, first, _ = best[i][o]
+                options.append((weight + idf[w], first if weight else place, place))
+            best[i + 1][o + 1] = max(options, key=lambda x: x[0])
+    return best[-1][-1]
+
+
+def test_license_scan_against_every_alignment(spark):
+    """Every start of every template, files with inserted, missing and changed words: the same labels."""
     texts = [text for _, text, _ in license_scan.TEMPLATES]
     rng = random.Random(6)
     stock = sorted({w for t in texts for w in t.split()})
-    files = [f"{a} x {b}" for a in texts for b in texts] + [" y ".join(texts), " ".join(reversed(texts))]
-    for _ in range(150):
+    files = list(texts)
+    for _ in range(60):
         words = []
-        for t in rng.sample(texts, rng.randint(1, 4)):
-            words += [w if rng.random() < 0.85 else rng.choice(stock) for w in t.split()] + rng.choices(stock, k=rng.randint(0, 8))
+        for t in rng.sample(texts, rng.randint(1, 3)):
+            for w in t.split():
+                chance = rng.random()
+                words += [] if chance < 0.06 else [rng.choice(stock)] if chance < 0.12 else [w, rng.choice(stock)] if chance < 0.18 else [w]
+            words += rng.choices(stock, k=rng.randint(0, 6))
         files.append(" ".join(words))
     held = Counter(w for f in files for w in set(f.split()))
     idf = {w: np.log((len(files) + 1) / (held[w] + 1)) + 0.01 for w in stock}
     want = []
     for i, f in enumerate(files):
-        words, labels = f.split(), {label for phrase, label in license_scan.BASE if f" {phrase} " in f" {f} "}
-        for label, text, key in license_scan.TEMPLATES:
+        words, labels, found = f.split(), {label for phrase, label in license_scan.BASE if f" {phrase} " in f" {f} "}, []
+        for label, text, keys in license_scan.TEMPLATES:
             parts = text.split()
+            whole = sum(idf[w] for w in parts)
             for start in range(len(words)):
-                stretch = words[start : start + len(parts)]
-                cover = sum(idf[w] for w, x in zip(parts, stretch) if w == x) / sum(idf[w] for w in parts)
-                if cover >= license_scan.COVERAGE and f" {key} " in f" {' '.join(stretch)} ":
-                    labels.add(label)
+                stretch = list(enumerate(words))[start : start + len(parts) + license_scan.GAP]
+                if words[start] not in parts or not all(f" {key} " in f" {' '.join(w for _, w in stretch)} " for key in keys):
+                    continue
+                weight, first, last = brute_common(parts, [x for x in stretch if x[1] in parts], idf)
+                if weight >= license_scan.COVERAGE * whole:
+                    found.append((label, weight / whole, weight, first, last))
+        labels |= {label for label, _ in license_scan.settled(found)}
         want.append((i, ",".join(sorted(labels))))
-    assert ",".join(("gpl-3", "mit")) in {x for _, x in want}
+    assert len({x for _, x in want}) > 15
     df = spark.createDataFrame(list(enumerate(files)), "doc_id long, text string").repartition(4)
     assert rows_of(license_scan.scan(df), "doc_id", "labels") == sorted(want, key=repr)
 
