@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,7 +28,7 @@ from pricelens.llm.tables import written
 
 PER_LANGUAGE, WORDS, GRAMS = 2000, 30_000, 30_000
 #: Buckets of document hashes, as a power of two, that the sample is counted in.
-SAMPLE_BITS = 16
+SAMPLE_BITS = 12
 LONGEST = 5
 DISCOUNT = 0.5
 #: Words that a long text's score counts for, and the score below which the corpus filter rejects.
@@ -37,19 +38,23 @@ CACHE = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def _top(counts: DataFrame, name: str, most: int) -> list:
-    """(lang, name, n) rows of the ``most`` most frequent of each language."""
+def _top(counts: DataFrame, name: str, most: int) -> pa.Table:
+    """(lang, name, n) of the ``most`` most frequent of each language, as Arrow columns: rows as objects would fill the driver."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))
-    return counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank").collect()
+    return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", name, "n").toArrow()
 
 
-def _vectors(rows: list, name: str, langs: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    counts: dict[str, np.ndarray] = {}
+#: Words or n-grams, and a row of log frequencies per language for each.
+Vectors = tuple[pa.Array, np.ndarray]
+
+
+def _vectors(rows: pa.Table, name: str, langs: list[str], totals: dict[str, int]) -> Vectors:
+    coded = pc.dictionary_encode(rows.column(name).combine_chunks())
     at = {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        counts.setdefault(r[name], np.zeros(len(langs)))[at[r["lang"]]] = r["n"]
-    size = np.array([totals[x] for x in langs], float) + len(counts)
-    return {k: np.log((v + 1) / size) for k, v in counts.items()}
+    table = np.zeros((len(coded.dictionary), len(langs)))
+    table[np.asarray(coded.indices), [at[x] for x in rows.column("lang").to_pylist()]] = np.asarray(rows.column("n"))
+    size = np.array([totals[x] for x in langs], float) + len(table)
+    return coded.dictionary, np.log((table + 1) / size)
 
 
 def learn(docs: DataFrame) -> dict:
@@ -81,26 +86,30 @@ def learn(docs: DataFrame) -> dict:
     by_size = []
     top = _top(table, "gram", GRAMS)
     for size in range(1, LONGEST + 1):
-        rows = [r for r in top if len(r["gram"]) == size]
+        rows = top.filter(pc.equal(pc.utf8_length(top.column("gram")), size))
         by_size.append(_vectors(rows, "gram", langs, {x: sums.get((x, size), 0) for x in langs}))
     return {"langs": langs, "words": _vectors(_top(words, "word", WORDS), "word", langs, totals), "grams": by_size}
 
 
-def _backoff(word: str, grams: list[dict[str, np.ndarray]], n: int) -> np.ndarray:
+def _indexed(vectors: Vectors) -> tuple[dict[str, int], np.ndarray]:
+    return {x: i for i, x in enumerate(vectors[0].to_pylist())}, vectors[1]
+
+
+def _backoff(word: str, grams: list[tuple[dict[str, int], np.ndarray]], n: int) -> np.ndarray:
     padded = f" {word} "
     for step, size in enumerate(range(min(LONGEST, len(padded)), 0, -1)):
-        hits = [grams[size - 1][g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in grams[size - 1]]
+        index, table = grams[size - 1]
+        hits = [index[g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in index]
         if hits:
-            return DISCOUNT**step * np.mean(hits, axis=0)
+            return DISCOUNT**step * table[hits].mean(axis=0)
     return np.zeros(n)
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, known, grams = (model.value[k] for k in ("langs", "words", "grams"))
-        names = sorted(known)
-        index = {w: i for i, w in enumerate(names)}
-        table = np.array([known[w] for w in names]).reshape(len(names), len(langs))
+        langs = model.value["langs"]
+        index, table = _indexed(model.value["words"])
+        grams = [_indexed(g) for g in model.value["grams"]]
         cache: dict[str, np.ndarray] = {}
         for batch in batches:
             column = batch.column("text") if "text" in batch.schema.names else batch.column("_row").field("text")
