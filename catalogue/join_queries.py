@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.common import LISTING_BASE, adapt, query, table, text_or, ymd, ymd_sql
+from catalogue.common import LISTING_BASE, ORACLES, adapt, query, table, text_or, ymd, ymd_sql
 from pricelens.functions import geo
 from pricelens.functions import text as tx
 from pricelens.operators import dedupe, enrich, nearest
@@ -178,12 +178,12 @@ def _backfilled(spark, sf):
 
 @query(
     "match_counts",
-    f"""WITH fb AS (SELECT slug, area, max(CASE WHEN f1 IS NOT NULL OR f2 IS NOT NULL THEN 1 END) AS h FROM ({FALLBACK}) z GROUP BY slug, area)
-       SELECT CASE WHEN NOT r.ok THEN 'none' WHEN p.slug IS NOT NULL THEN 'primary' WHEN fb.h = 1 THEN 'fallback' ELSE 'none' END AS source, count(*) AS n
-       FROM ({BACKFILL_ROWS}) r LEFT JOIN ({PRIMARY}) p ON r.slug = p.slug LEFT JOIN fb ON r.slug = fb.slug AND r.area = fb.area GROUP BY 1""",
+    f"""WITH b AS ({ORACLES["backfill_priority"]}), r AS ({BACKFILL_ROWS})
+       SELECT source, count(*) AS n, count(*) FILTER (WHERE source <> 'none' AND r.f1 IS NULL AND b.f1 <> -1) AS n_f1,
+         count(*) FILTER (WHERE source <> 'none' AND r.f2 IS NULL AND b.f2 <> -1) AS n_f2 FROM b JOIN r ON b.k = r.k GROUP BY source""",
 )
 def match_counts(spark, sf):
-    return enrich.match_counts(_backfilled(spark, sf), ["f1", "f2"]).select("source", "n")
+    return enrich.match_counts(_backfilled(spark, sf), ["f1", "f2"]).select("source", "n", "n_f1", "n_f2")
 
 
 @query(

@@ -123,7 +123,7 @@ def address_facts(addr_to_brf: DataFrame, brf: DataFrame) -> DataFrame:
         ~F.regexp_like("brf_slug", F.lit(fv.FAR_AWAY_SLUG))
     )
     one = links.groupBy("addr_slug").agg(F.min("brf_slug").alias("brf_slug"))
-    return one.join(brf.dropDuplicates(["brf_slug"]), "brf_slug")
+    return one.join(one_per_slug(brf, "brf_slug", [c for c in brf.columns if c != "brf_slug"]), "brf_slug")
 
 
 def backfill_by_priority(
@@ -158,6 +158,11 @@ def backfill_by_priority(
     return joined.select(*keep, "backfill_source", *[c.alias(n) for n, c in filled.items()])
 
 
+def one_per_slug(facts: DataFrame, slug: str, fields: list[str]) -> DataFrame:
+    """One row per slug. Of several, the greatest by its fields in order stays, so no run and no lost executor changes which."""
+    return facts.groupBy(slug).agg(F.max(F.struct(*fields)).alias("_best")).select(slug, "_best.*")
+
+
 def backfill_associations(sold: DataFrame, addr_facts: DataFrame, live: DataFrame) -> DataFrame:
     """Association facts for sold rows: by address slug first, else from the richest live
     row at the same slug and area; only inside the region.
@@ -176,7 +181,7 @@ def backfill_associations(sold: DataFrame, addr_facts: DataFrame, live: DataFram
     rows = sold.withColumn("_slug", tx.street_slug("address"))
     return backfill_by_priority(
         rows,
-        addr_facts.withColumnRenamed("addr_slug", "_slug").dropDuplicates(["_slug"]),
+        one_per_slug(addr_facts.withColumnRenamed("addr_slug", "_slug"), "_slug", fields),
         ["_slug"],
         best.select("_slug", "area", *fields),
         ["_slug", "area"],

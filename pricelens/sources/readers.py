@@ -9,7 +9,8 @@ from pricelens import fixed_values as fv
 from pricelens import schemas
 from pricelens.operators.dedupe import first_seen
 
-SNAPSHOT_FILE = r"^(.*?)-(\d{4}-\d{2}-\d{2})"
+#: The last part of a path, file or folder of part files, that is named kind-YYYY-MM-DD.
+SNAPSHOT_FILE = r"(?:^|[/=])([^/=]*?)-(\d{4}-\d{2}-\d{2})[^/]*(?:/part-[^/]*)?$"
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -22,6 +23,11 @@ def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: str)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def scan_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """JSON lines with every malformed line kept in ``_corrupt_record``, so one pass can use the good ones and count the others."""
+    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+
+
 def parse_json_lines(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """The tolerant scan for lines already in a table: unreadable lines drop out."""
     full = f"{schema}, _corrupt string"
@@ -32,8 +38,8 @@ def parse_json_lines(lines: DataFrame, schema: str, column: str = "value") -> Da
 
 
 def with_snapshot(df: DataFrame) -> DataFrame:
-    """Kind and day taken from the file name ``kind-YYYY-MM-DD...``."""
-    name = F.col("_metadata.file_name")
+    """Kind and day taken from the name ``kind-YYYY-MM-DD...`` of the file, or of the folder of part files that a snapshot is as a Spark table."""
+    name = F.col("_metadata.file_path")
     return df.select(
         "*",
         F.regexp_extract(name, SNAPSHOT_FILE, 1).alias("file_kind"),

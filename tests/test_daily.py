@@ -7,7 +7,7 @@ from pricelens import schemas
 from pricelens.functions import text as tx
 from pricelens.operators import enrich
 from pricelens.plans import daily
-from test_models import frame, sample
+from tests.test_models import frame, sample
 
 
 def card(i, ask):

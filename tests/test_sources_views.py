@@ -127,3 +127,18 @@ def test_places_follow_the_view_order(spark):
     ordered = [r.listing_id for r in views.view_order(df).collect()]
     assert ordered == ["d", "c", "e", "b", "a", "f"]
     assert [r.listing_id for r in views.view_places(df).orderBy("place").collect()] == ordered
+
+
+def test_one_fact_per_slug_whatever_the_order(spark):
+    rows = [("s", 1, "b", None), ("s", 2, "a", True), ("s", 2, None, False), ("t", None, None, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "slug string, n int, name string, own boolean").repartition(3)
+        assert sorted(tuple(r) for r in enrich.one_per_slug(df, "slug", ["n", "name", "own"]).collect()) == [("s", 2, "a", True), ("t", None, None, None)]
+
+
+def test_damaged_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "sold-2026-01-02").mkdir()
+    (tmp_path / "sold-2026-01-02" / "part-0.json").write_text('{"k": 1}\n{"k": \n{"k": 3}\n')
+    rows = readers.with_snapshot(readers.scan_jsonl(spark, str(tmp_path / "*"), "k bigint")).collect()
+    assert sorted((r["k"], r["_corrupt_record"]) for r in rows if r["k"]) == [(1, None), (3, None)]
+    assert [r["_corrupt_record"] for r in rows if not r["k"]] == ['{"k": '] and {(r["file_kind"], str(r["snapshot_date"])) for r in rows} == {("sold", "2026-01-02")}
