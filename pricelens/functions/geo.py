@@ -26,7 +26,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def _haversine_of(dlat: Column, dlon: Column, cos: Column) -> Column:
-    s_lat, s_lon = F.sin(F.radians(dlat) / 2), F.sin(F.radians(F.least(dlon, F.lit(180.0))) / 2)
+    s_lat, s_lon = F.sin(F.radians(dlat) / 2), F.sin(F.radians(dlon) / 2)
     a = s_lat * s_lat + cos * s_lon * s_lon
     return F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * (2 * EARTH_RADIUS_M)
 
@@ -69,7 +69,7 @@ def planar_bounds(lat: Column, lon: Column, box: Box) -> tuple[Column, Column]:
 def haversine_bounds(lat: Column, lon: Column, box: Box) -> tuple[Column, Column]:
     """Lower and upper bound of ``haversine_m`` between a point and anything in a box.
 
-    The upper bound is only tight for boxes less than half the globe apart in longitude.
+    A gap of over 180 degrees counts as 180 in the upper bound: no point is farther around the globe.
     """
     lat_near, lat_far, lon_near, lon_far = _gaps(lat, lon, box)
     lo, hi = F.col(box.min_lat), F.col(box.max_lat)
@@ -80,7 +80,7 @@ def haversine_bounds(lat: Column, lon: Column, box: Box) -> tuple[Column, Column
     lon_low = F.when(lon_far > 180, F.lit(0.0)).otherwise(lon_near)
     return (
         _haversine_of(lat_near, lon_low, here * F.cos(F.radians(steep))),
-        _haversine_of(lat_far, lon_far, here * F.cos(F.radians(flat))),
+        _haversine_of(F.least(lat_far, F.lit(180.0)), F.least(lon_far, F.lit(180.0)), here * F.cos(F.radians(flat))),
     )
 
 

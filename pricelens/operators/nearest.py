@@ -1,13 +1,16 @@
 """Exact k-nearest-neighbour join, and the label vote, radius tier and nearest-place
 operators built on it.
 
-Plan shape. The reference points become a quadtree of 16-way nodes, one row per node with
-its count and tight bounding box; nodes small enough carry their points inline. Each probe
-walks the tree level by level: candidate nodes are replaced by their children, and every
-node whose nearest possible point is farther than the best guaranteed k-th distance is
-dropped. A probe therefore meets only a handful of nodes per level however dense the
-data is, so no cell, however hot, is ever paired with all of its probes. The bounds are
-exact, so nothing is approximated and no candidate is capped.
+Plan shape. The reference points are packed by counted places: cut into strips of equally many
+points along the latitude, each strip into leaves of equally many along the longitude. Strips and
+leaves are numbered, and four by four neighbouring numbers make a node of the level above, one row
+per node with its count and tight bounding box. The depth follows from the number of points alone:
+a far outlier widens the box of one leaf and of that leaf's parents, nothing else, and every leaf is
+full, however dense the data is. Each probe walks the tree level by level: candidate nodes are
+replaced by their children, and every node whose nearest possible point is farther than the best
+guaranteed k-th distance is dropped. Only boxes are walked; the points themselves are joined once,
+by the leaves that are left. The bounds are exact, so nothing is approximated and no candidate is
+capped.
 """
 
 from __future__ import annotations
@@ -17,107 +20,62 @@ from pyspark.sql import functions as F
 
 from pricelens import fixed_values as fv
 from pricelens.functions.geo import Box, Metric, PLANAR, HAVERSINE
+from pricelens.operators.places import row_places
 from pricelens.session import cut_lineage
 
-FANOUT_BITS = 2  # per axis and step: 16 children per node
-MAX_STEPS = 13  # 2**26 columns and rows
+FANOUT_BITS = 2  # four strips by four leaves: 16 children per node
 LEAF_POINTS = 64
-BROADCAST_NODES = 200_000  # about 20 MB of node rows
 SLACK = 1.0 + 1e-9  # rounding margin when comparing bounds
-LOCATED = "lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)"
-
-
-def _grid_codes(points: DataFrame, cls: list[str]) -> DataFrame:
-    """Integer grid position of each point in the data's own bounding box, at full depth."""
-    cells = float(1 << (FANOUT_BITS * MAX_STEPS))
-    extent = points.agg(
-        F.min("p_lat").alias("lat0"),
-        F.max("p_lat").alias("lat1"),
-        F.min("p_lon").alias("lon0"),
-        F.max("p_lon").alias("lon1"),
-    ).first()
-    lat0, lon0 = extent["lat0"] or 0.0, extent["lon0"] or 0.0
-    side = max((extent["lat1"] or 0.0) - lat0, (extent["lon1"] or 0.0) - lon0) or 1.0
-
-    def index(c: str, origin: float) -> Column:
-        at = F.floor((F.col(c) - origin) / side * cells)
-        return F.least(at, F.lit(int(cells) - 1)).cast("bigint")
-
-    return points.withColumn("gy", index("p_lat", lat0)).withColumn("gx", index("p_lon", lon0))
-
-
-def _node(step: Column | int, row: str = "gy", col: str = "gx") -> list[Column]:
-    """Grid position of the node that holds a point after ``step`` subdivisions."""
-    shift = FANOUT_BITS * (MAX_STEPS - step)
-    return [F.shiftright(F.col(row), shift).alias("ny"), F.shiftright(F.col(col), shift).alias("nx")]
-
-
-def _depth_needed(coded: DataFrame, cls: list[str], leaf_points: int) -> tuple[int, dict[int, int]]:
-    """Steps until no node holds more than ``leaf_points``, and the node count per step.
-
-    One aggregation with map-side combine; the collected result has one row per step.
-    """
-    steps = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("step"), *_node(s)) for s in range(1, MAX_STEPS + 1)])
-    )
-    sizes = (
-        coded.select(*cls, steps.alias("n"))
-        .groupBy(*cls, "n.step", "n.ny", "n.nx")
-        .count()
-        .groupBy("step")
-        .agg(F.max("count").alias("largest"), F.count("*").alias("nodes"))
-        .collect()
-    )
-    by_step = {r["step"]: r for r in sizes}
-    deep = next((s for s in sorted(by_step) if by_step[s]["largest"] <= leaf_points), MAX_STEPS if by_step else 1)
-    return deep, {s: r["nodes"] for s, r in by_step.items()}
-
-
-def _tree(coded: DataFrame, cls: list[str], depth: int, leaf_points: int) -> DataFrame:
-    """All node rows, built bottom-up: every group has at most 16 members."""
-    point = F.struct("p_lat", "p_lon", "p_pos", "p_label")
-    level = (
-        coded.groupBy(*cls, *_node(depth))
-        .agg(
-            F.count("*").alias("n"),
-            F.min("p_lat").alias("min_lat"),
-            F.max("p_lat").alias("max_lat"),
-            F.min("p_lon").alias("min_lon"),
-            F.max("p_lon").alias("max_lon"),
-            F.collect_list(point).alias("points"),
+LOCATED = "abs(lat) < double('Infinity') AND abs(lon) < double('Infinity')"  # neither null, NaN nor infinite
+
+
+def _in_group(df: DataFrame, groups: list[str], name: str) -> DataFrame:
+    """Turns ``place`` in a table ordered by ``groups`` first into the place within the group, and adds
+    the group's row count ``<name>_n``."""
+    if not groups:
+        total = df.agg(F.min("place").alias("_first"), F.count("*").alias(f"{name}_n"))
+        joined = df.crossJoin(F.broadcast(total))  # one row
+    else:
+        sizes = cut_lineage(
+            df.groupBy(*groups).agg(F.min("place").alias("_first"), F.count("*").alias(f"{name}_n")), "groups"
         )
-        .withColumn("leaf", F.lit(True))
+        joined = df.join(sizes, groups)
+    return joined.withColumn(name, F.col("place") - F.col("_first")).drop("place", "_first")
+
+
+def _packed(points: DataFrame, cls: list[str], leaf_points: int) -> DataFrame:
+    """Points with the numbers of their strip (``ny``) and of their leaf in the strip (``nx``)."""
+    ties = [F.col("p_pos"), F.col("p_label")]
+    by_lat = row_places(points, [*map(F.col, cls), F.col("p_lat"), F.col("p_lon"), *ties])
+    strips = F.ceil(F.sqrt(F.col("_lat_n") / leaf_points))
+    rows_per_strip = F.ceil(F.col("_lat_n") / strips)
+    stripped = _in_group(by_lat, cls, "_lat").withColumn("ny", F.floor(F.col("_lat") / rows_per_strip))
+    stripped = stripped.drop("_lat", "_lat_n")
+    by_lon = row_places(stripped, [*map(F.col, cls), F.col("ny"), F.col("p_lon"), F.col("p_lat"), *ties])
+    packed = _in_group(by_lon, [*cls, "ny"], "_lon").withColumn("nx", F.floor(F.col("_lon") / leaf_points))
+    return cut_lineage(packed.drop("_lon", "_lon_n"), "packed")
+
+
+def _levels(packed: DataFrame, cls: list[str]) -> list[DataFrame]:
+    """The boxes of the tree from the root's children down to the leaves, one table per level."""
+    box = ["min_lat", "max_lat", "min_lon", "max_lon"]
+    nodes = packed.groupBy(*cls, "ny", "nx").agg(
+        F.count("*").alias("n"),
+        F.min("p_lat").alias("min_lat"),
+        F.max("p_lat").alias("max_lat"),
+        F.min("p_lon").alias("min_lon"),
+        F.max("p_lon").alias("max_lon"),
     )
-    stored = []
-    for step in range(depth, 0, -1):
-        up = [F.shiftright("ny", FANOUT_BITS).alias("py"), F.shiftright("nx", FANOUT_BITS).alias("px")]
-        level = level.select("*", *up)
-        # The window and the next aggregation share one shuffle on the parent node.
-        siblings = Window.partitionBy(*cls, "py", "px")
-        level = level.withColumn("parent_n", F.sum("n").over(siblings))
-        reached = level if step == 1 else level.where(F.col("parent_n") > leaf_points)
-        stored.append(reached.withColumn("step", F.lit(step)).drop("py", "px", "parent_n"))
-        if step == 1:
-            break
-        small = F.sum("n") <= leaf_points
-        no_points = F.array().cast(level.schema["points"].dataType)
-        level = (
-            level.withColumn("points", F.coalesce("points", no_points))
-            .groupBy(*cls, F.col("py").alias("ny"), F.col("px").alias("nx"))
-            .agg(
-                F.sum("n").alias("n"),
-                F.min("min_lat").alias("min_lat"),
-                F.max("max_lat").alias("max_lat"),
-                F.min("min_lon").alias("min_lon"),
-                F.max("max_lon").alias("max_lon"),
-                F.when(small, F.flatten(F.collect_list("points"))).alias("points"),
-                small.alias("leaf"),
-            )
+    levels = [cut_lineage(nodes, "leaves")]
+    wide = levels[0].agg(F.greatest(F.max("ny"), F.max("nx")).alias("last")).first()["last"] or 0
+    while wide >= 1 << FANOUT_BITS:  # until the root has at most 16 children
+        wide >>= FANOUT_BITS
+        up = levels[0].groupBy(
+            *cls, F.shiftright("ny", FANOUT_BITS).alias("ny"), F.shiftright("nx", FANOUT_BITS).alias("nx")
         )
-    tree = stored[0]
-    for other in stored[1:]:
-        tree = tree.unionByName(other)
-    return tree
+        merged = [F.min(c).alias(c) if c.startswith("min") else F.max(c).alias(c) for c in box]
+        levels.insert(0, cut_lineage(up.agg(F.sum("n").alias("n"), *merged), "nodes"))
+    return levels
 
 
 def nearest_neighbours(
@@ -134,10 +92,10 @@ def nearest_neighbours(
     ``probes``: ``lat, lon``; ``points``: ``lat, lon, pos, label`` and, when ``classes``
     (a short list of values) is given, ``cls`` — then each class has its own k nearest.
     Distance ties go to the smaller ``pos``. Probe locations are deduplicated; the result
-    is keyed ``lat, lon[, cls]`` with ``rank, distance, label, pos, p_lat, p_lon``.
+    is keyed ``lat, lon[, cls]`` with ``rank, distance, label, pos, p_lat, p_lon``. Rows whose
+    coordinates are null, NaN or infinite are no locations.
     """
     cls = ["cls"] if classes is not None else []
-    spark = probes.sparkSession
     located = points.where(LOCATED).select(
         *cls,
         F.col("lat").cast("double").alias("p_lat"),
@@ -145,14 +103,13 @@ def nearest_neighbours(
         F.col("pos").alias("p_pos"),
         F.col("label").alias("p_label"),
     )
+    if classes is not None:
+        located = located.where(F.col("cls").isin(classes))
     # At one location only the first k positions can ever be among the k nearest, so the
     # copies of a crowded address go before any shuffle (partial window group limit).
-    same_place = Window.partitionBy(*cls, "p_lat", "p_lon").orderBy("p_pos")
+    same_place = Window.partitionBy(*cls, "p_lat", "p_lon").orderBy("p_pos", "p_label")
     located = located.withColumn("_c", F.row_number().over(same_place)).where(F.col("_c") <= k).drop("_c")
-    located = cut_lineage(located, "points")
-    coded = _grid_codes(located, cls)
-    depth, node_counts = _depth_needed(coded, cls, leaf_points)
-    tree = cut_lineage(_tree(coded, cls, depth, leaf_points))
+    packed = _packed(cut_lineage(located, "points"), cls, leaf_points)
 
     front = probes.where(LOCATED).select(
         F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")
@@ -160,72 +117,40 @@ def nearest_neighbours(
     if classes is not None:
         front = front.withColumn("cls", F.explode(F.array(*[F.lit(c) for c in classes])))
     key = ["lat", "lon", *cls]
-    # Every probe starts at the root. A row whose node carries its points is final.
-    front = front.select(
-        *key,
-        F.struct(F.lit(0).cast("bigint").alias("ny"), F.lit(0).cast("bigint").alias("nx")).alias("node"),
-        F.lit(None).cast(tree.schema["points"].dataType).alias("points"),
-        F.lit(0.0).alias("dmin"),
-        F.lit(0.0).alias("dmax"),
-        F.lit(0).cast("bigint").alias("n"),
-    )
-    for step in range(1, depth + 1):
-        child = tree.where(F.col("step") == step).select(
-            *[F.col(c).alias(f"c_{c}") for c in cls],
-            F.struct(
-                F.shiftright("ny", FANOUT_BITS).alias("ny"), F.shiftright("nx", FANOUT_BITS).alias("nx")
-            ).alias("parent"),
-            F.struct("ny", "nx").alias("c_node"),
-            F.col("n").alias("c_n"),
-            "min_lat", "max_lat", "min_lon", "max_lon",
-            F.when(F.col("leaf"), F.col("points")).alias("c_points"),
-        )
-        # The first step has at most 16 nodes per class; deeper levels are broadcast only
-        # while the counted number of nodes stays small, else joined on the parent node
-        # (each parent has at most 16 rows, so a hot parent splits under adaptive execution).
-        if step == 1 or node_counts.get(step, 0) <= BROADCAST_NODES:
-            child = F.broadcast(child)
-        # One left join opens the unfinished nodes and passes the finished ones through, and
-        # a broadcast join keeps the hash on the probe, so the windows below never reshuffle.
-        # Finished rows get a spread-out key that matches nothing, not one common null key.
-        nothing = F.struct(
-            (-1 - F.pmod(F.xxhash64("lat", "lon"), F.lit(1 << 20))).alias("ny"), F.lit(0).cast("bigint").alias("nx")
+    root = F.lit(0).cast("bigint")
+    front = front.select(*key, root.alias("ny"), root.alias("nx"))
+    low, high = metric.bounds(F.col("lat"), F.col("lon"), Box())
+    near_first = Window.partitionBy(*key).orderBy("dmax").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    for depth, level in enumerate(_levels(packed, cls), 1):
+        # The level's own statistics decide between broadcast and shuffle; a parent has at most
+        # 16 rows, so a parent that many probes share splits under adaptive execution.
+        children = level.withColumnsRenamed({"ny": "c_ny", "nx": "c_nx"}).withColumns(
+            {"ny": F.shiftright("c_ny", FANOUT_BITS), "nx": F.shiftright("c_nx", FANOUT_BITS)}
         )
-        match = F.when(F.col("points").isNull(), F.col("node")).otherwise(nothing) == F.col("parent")
-        for c in cls:
-            match = match & (F.col(c) == F.col(f"c_{c}"))
-        low, high = metric.bounds(F.col("lat"), F.col("lon"), Box())
-        opened = front.join(child, match, "left").select(
-            *key,
-            F.coalesce("c_node", "node").alias("node"),
-            F.coalesce("c_points", "points").alias("points"),
-            F.when(F.col("c_node").isNotNull(), low).otherwise(F.col("dmin")).alias("dmin"),
-            F.when(F.col("c_node").isNotNull(), high).otherwise(F.col("dmax")).alias("dmax"),
-            F.coalesce("c_n", "n").alias("n"),
+        opened = front.join(children, [*cls, "ny", "nx"]).select(
+            *key, F.col("c_ny").alias("ny"), F.col("c_nx").alias("nx"), "n", low.alias("dmin"), high.alias("dmax")
         )
-        near_first = Window.partitionBy(*key).orderBy("dmax").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*key)
         guaranteed = F.min(F.when(F.col("_seen") >= k, F.col("dmax"))).over(whole)
         opened = opened.withColumn("_seen", F.sum("n").over(near_first)).withColumn("_bound", guaranteed)
         bound = F.col("_bound")
         if max_distance is not None:
             bound = F.least(bound, F.lit(float(max_distance)))
-        front = opened.where(bound.isNull() | (F.col("dmin") <= bound * SLACK)).drop("_seen", "_bound")
-        if step % 4 == 0 and step < depth:
+        front = opened.where(bound.isNull() | (F.col("dmin") <= bound * SLACK)).select(*key, "ny", "nx")
+        if depth % 4 == 0:
             front = cut_lineage(front)
 
-    pairs = front.select(*key, F.explode("points").alias("p"))
-    ranked = pairs.select(
+    ranked = front.join(packed, [*cls, "ny", "nx"]).select(
         *key,
-        metric.distance(F.col("lat"), F.col("lon"), F.col("p.p_lat"), F.col("p.p_lon")).alias("distance"),
-        F.col("p.p_pos").alias("pos"),
-        F.col("p.p_label").alias("label"),
-        F.col("p.p_lat").alias("p_lat"),
-        F.col("p.p_lon").alias("p_lon"),
+        metric.distance(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")).alias("distance"),
+        F.col("p_pos").alias("pos"),
+        F.col("p_label").alias("label"),
+        "p_lat",
+        "p_lon",
     )
     if max_distance is not None:
         ranked = ranked.where(F.col("distance") <= max_distance)
-    order = Window.partitionBy(*key).orderBy("distance", "pos")
+    order = Window.partitionBy(*key).orderBy("distance", "pos", "label")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens import fixed_values as fv
 from pricelens.functions import bands
 from pricelens.functions import text as tx
+from pricelens.operators.places import row_places
 from pricelens.operators.quantiles import exact_quantiles
 
 
@@ -120,33 +121,19 @@ def status_rank(status: Column) -> Column:
     return rank
 
 
+def _view_order() -> list[Column]:
+    return [status_rank(F.col("status")), F.col("published_at").desc_nulls_last(), F.col("listing_id")]
+
+
 def view_order(rows: DataFrame) -> DataFrame:
     """Live rows first, then sold, then withdrawn; newest publication first, unknown last."""
-    return rows.orderBy(
-        status_rank(F.col("status")), F.col("published_at").desc_nulls_last(), "listing_id"
-    )
+    return rows.orderBy(*_view_order())
 
 
 def view_places(rows: DataFrame) -> DataFrame:
-    """Each row's place in the view order, for the whole view and without a global sort.
-
-    Rows are counted per (status rank, publication day); the running total over those
-    counts — one row per rank and day — is where each group starts.
-    """
-    keyed = rows.withColumns({"_rank": status_rank(F.col("status")), "_day": F.col("published_at")})
-    before = (
-        Window.orderBy("_rank", F.col("_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = (
-        keyed.groupBy("_rank", "_day")
-        .agg(F.count("*").alias("_n"))
-        .select(F.col("_rank").alias("_r"), F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    within = Window.partitionBy("_rank", "_day").orderBy("listing_id")
-    placed = keyed.join(starts, (F.col("_rank") == F.col("_r")) & F.col("_day").eqNullSafe(F.col("_d")))
-    return placed.withColumn("place", F.col("_start") + F.row_number().over(within)).drop(
-        "_rank", "_day", "_r", "_d", "_start"
-    )
+    """Each row's place in the view order, from 1, for the whole view. All rows of one rank without
+    a day are still spread over many tasks, by their ids."""
+    return row_places(rows, _view_order()).withColumn("place", F.col("place") + 1)
 
 
 def merge_ledger_fields(live: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -42,6 +42,31 @@ def test_same_neighbours_as_brute_force(spark, kind):
         assert list(g.pos) == list(want)
 
 
+def test_an_outlier_leaves_the_depth(spark):
+    points, probes = cloud("even")
+    far = pd.concat([points, pd.DataFrame({"lat": [1e9, np.inf], "lon": [-1e9, 18.0], "pos": [10_000, 10_001], "label": ["far", "none"]})])
+    levels = []
+    for table in (points, far):
+        located = spark.createDataFrame(table).where(nearest.LOCATED).selectExpr("lat p_lat", "lon p_lon", "pos p_pos", "label p_label")
+        packed = nearest._packed(located, [], 16)
+        assert packed.groupBy("ny", "nx").count().agg({"count": "max"}).first()[0] <= 16
+        levels.append(len(nearest._levels(packed, [])))
+    assert levels == [2, 2]  # 8 strips
+    near = [nearest.nearest_neighbours(spark.createDataFrame(probes), spark.createDataFrame(t), 5, leaf_points=16).select("lat", "lon", "rank", "pos") for t in (points, far)]
+    assert sorted(near[0].collect()) == sorted(near[1].collect())
+
+
+def test_neighbours_across_the_date_line_and_the_globe(spark):
+    rng = np.random.default_rng(3)
+    points = pd.DataFrame({"lat": rng.uniform(-80, 80, 500), "lon": rng.uniform(-180, 180, 500), "pos": range(500), "label": "x"})
+    probes = pd.DataFrame({"lat": rng.uniform(-85, 85, 40), "lon": np.r_[rng.uniform(-180, 180, 30), np.full(5, 179.9), np.full(5, -179.9)]})
+    got = nearest.nearest_neighbours(spark.createDataFrame(probes), spark.createDataFrame(points), 3, nearest.HAVERSINE, leaf_points=8).toPandas()
+    for r in probes.itertuples():
+        d = great_circle(points, r.lat, r.lon)
+        mine = got[(got.lat == r.lat) & (got.lon == r.lon)].sort_values("rank")
+        assert list(mine.pos) == list(np.argsort(d)[:3])
+
+
 def test_vote_ties_and_few_points(spark):
     points = pd.DataFrame({"lat": [0.0, 0.1, 0.2, 0.3, 0.4], "lon": [0.0] * 5, "pos": range(5), "label": ["B", "A", "A", "B", "C"]})
     probes = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 0.4, 0.0)], "i int, lat double, lon double")

@@ -129,6 +129,20 @@ def test_places_follow_the_view_order(spark):
     assert [r.listing_id for r in views.view_places(df).orderBy("place").collect()] == ordered
 
 
+def test_places_of_one_group_come_from_many_tasks(spark):
+    """All rows have one rank and no day; the ids alone split them."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(5000).selectExpr("lpad(id * 7919 % 5000, 5, '0') listing_id", "'onsale' status", "CAST(NULL AS DATE) published_at")
+        got = views.view_places(df.repartition(4))
+        assert all(r.place == int(r.listing_id) + 1 for r in got.collect())
+        assert got.rdd.getNumPartitions() > 1 and got.groupBy(F.spark_partition_id()).count().where("count > 2500").isEmpty()
+        assert views.view_places(df.limit(0)).isEmpty()
+    finally:
+        spark.conf.unset(key)
+
+
 def test_one_fact_per_slug_whatever_the_order(spark):
     rows = [("s", 1, "b", None), ("s", 2, "a", True), ("s", 2, None, False), ("t", None, None, None)]
     for order in (rows, rows[::-1]):
