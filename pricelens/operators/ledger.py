@@ -22,21 +22,29 @@ def price_changes(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Asking prices that differ from the previous non-null one, per ``id`` in
     (``snapshot_date``, ``pos``) order: ``id, snapshot_date, pos, asking_price_kr``.
 
-    Two rounds: runs are first collapsed within (id, day, block of positions), so an id
-    with a large share of all rows is worked on by many tasks, and only the survivors meet
-    in one partition per id. Collapsing in two rounds gives the same result as one.
+    Rows meet within (id, day, block of positions), where all but the first row of a block are decided.
+    A block then counts as one row, its first and last price, and meets the others of its id and month;
+    what is first there meets per id. So an id with a large share of all rows, all of them changes,
+    still is many small groups: no task holds more than a block, the blocks of a month, or an id's months.
     """
-    asked = rows.where("asking_price_kr IS NOT NULL").select("id", "snapshot_date", "pos", "asking_price_kr")
-    ask = F.col("asking_price_kr")
-
-    def changed(df: DataFrame, keys: list) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("snapshot_date", "pos")
-        return df.withColumn("_before", F.lag(ask).over(w)).where(
-            F.col("_before").isNull() | (F.col("_before") != ask)
-        ).drop("_before")
-
     block = F.floor(F.col("pos") / block_rows)
-    return changed(changed(asked, ["id", "snapshot_date", block]), ["id"])
+    day = F.col("snapshot_date")
+    entry = ["id", "snapshot_date", "pos", "asking_price_kr"]
+    first = rows.where("asking_price_kr IS NOT NULL").select(*entry, F.col("asking_price_kr").alias("_last"))
+    decided = []
+    for group in (["id", day, block], ["id", F.trunc(day, "month")], ["id"]):
+        whole = Window.partitionBy(*group)
+        order = whole.orderBy("snapshot_date", "pos")
+        to_the_end = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        met = first.withColumns(
+            {"_before": F.lag("_last").over(order), "_end": F.last("_last").over(to_the_end)}
+        )
+        decided.append(met.where(F.col("_before") != F.col("asking_price_kr")).select(*entry))
+        first = met.where(F.col("_before").isNull()).select(*entry, F.col("_end").alias("_last"))
+    changes = first.select(*entry)  # the first price of each id
+    for more in decided:
+        changes = changes.unionByName(more)
+    return changes
 
 
 def change_arrays(changes: DataFrame) -> DataFrame:

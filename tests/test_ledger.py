@@ -97,6 +97,20 @@ def test_rebuild_and_advance_equal_a_replay(spark, seed, with_probes):
     check(later, book)
 
 
+def test_price_changes_are_those_of_a_plain_walk(spark):
+    """Over days and months, with nulls and one id that holds most rows."""
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.6 else f"i{rng.randrange(8)}", START + timedelta(rng.randrange(80)), p, rng.choice([None, 1, 1, 2, 3])) for p in range(1500)]
+    want, at = [], {}
+    for i, day, pos, ask in sorted(rows, key=lambda r: r[:3]):
+        if ask is not None and at.get(i) != ask:
+            want.append((i, day, pos, ask))
+            at[i] = ask
+    df = spark.createDataFrame(rows, "id string, snapshot_date date, pos bigint, asking_price_kr bigint").repartition(5)
+    for block in (1, 7, 4096):
+        assert sorted(tuple(r) for r in ledger.price_changes(df, block).collect()) == want
+
+
 def test_change_log_blocks_do_not_matter(spark):
     rows = [("a", "u", START, i, [1, 1, 2, None, 2, 1, 1][i % 7], None, None) for i in range(60)]
     df = spark.createDataFrame(rows, ROW)
