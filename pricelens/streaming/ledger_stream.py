@@ -17,6 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pricelens import fixed_values as fv
 from pricelens.operators import ledger
@@ -63,14 +64,15 @@ class LedgerStream:
         df.write.mode("overwrite").parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def _summarised_again(self, ids: DataFrame, rows: DataFrame, version: int) -> DataFrame:
-        """Summaries of ``ids`` from the rows of all batches up to ``version``."""
-        kept = rows.sparkSession.read.schema(rows.schema.add("version", "long")).parquet(os.path.join(self.root, "rows"))
+    def _all_rows(self, ids: DataFrame, rows: DataFrame, version: int) -> DataFrame:
+        """The rows of ``ids`` in all batches up to ``version``."""
+        versioned = StructType(list(rows.schema.fields)).add("version", "long")
+        kept = rows.sparkSession.read.schema(versioned).parquet(os.path.join(self.root, "rows"))
         theirs = kept.where(F.col("version") <= version).join(ids, "id", "left_semi")
         place = ["id", "snapshot_date", "pos"]
         values = [c for c in rows.columns if c not in place]
         last = theirs.groupBy(*place).agg(F.max_by(F.struct(*values), "version").alias("v"))
-        return ledger.summarise(last.select(*place, "v.*"), self.fields)
+        return last.select(*place, "v.*")
 
     def apply(self, batch: DataFrame, version: int) -> None:
         """One micro-batch: version N is version N - 1 with the batch's rows."""
@@ -88,11 +90,12 @@ class LedgerStream:
             since = rows.groupBy("id").agg(F.min("snapshot_date").alias("since"))
             behind = since.join(state.select("id", "last_seen"), "id").where("since <= last_seen").select("id")
             behind = self._written(behind, "behind", version)
-            later = ledger.summarise(rows.join(behind, "id", "left_anti"), self.fields)
-            merged = ledger.merge_summaries(state.join(behind, "id", "left_anti"), later, self.fields)
+            # One summary of both: an id that is behind comes with all its rows and meets no state.
+            taken = rows.join(behind, "id", "left_anti").unionByName(self._all_rows(behind, rows, version))
+            fresh = ledger.summarise(taken, self.fields)
+            merged = ledger.merge_summaries(state.join(behind, "id", "left_anti"), fresh, self.fields)
             # The status follows from summaries, calendar and probes alone, so a late day counts for it too.
             summaries = merged.drop(*[c for c in merged.columns if c.startswith("was_")])
-            summaries = summaries.unionByName(self._summarised_again(behind, rows, version))
         self._written(late.groupBy("snapshot_date").agg(F.count("*").alias("n")), "late", version)
         days = self._written(days.coalesce(1), "days", version)
         calendar = ledger.snapshot_calendar(days, self.withdraw_after)
