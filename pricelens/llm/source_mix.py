@@ -4,8 +4,10 @@ With whole weights a that add up to D, block k of a source (from 1) is released
 floor((k - 1) * D / a) and due by ceil(k * D / a). Each slot takes the released block with the earliest
 deadline. So every source stays less than one block from its exact share after each
 slot, and the plan repeats every D slots; one period is laid out by a fold over its slots and
-joined to the numbered documents. Once a source has run out, the others keep their slots:
-``in_mix`` marks the documents before the first slot that misses its block, where the shares hold.
+joined to the numbered documents. At the first slot for which its source has no block left, the
+sources that still have blocks are planned anew from that slot on, with their own weights, until
+none is left: so every document has a place, and the shares of the sources left hold to the end. A
+source's last block may be short. ``in_mix`` marks the documents of the first plan, that of all sources.
 
 Documents are numbered within their source in the order of md5(doc_id), in buckets of its leading
 digits with counted offsets, so a source with a third of all rows is numbered by many tasks.
@@ -56,6 +58,30 @@ def period(weights: DataFrame) -> DataFrame:
     return one.groupBy("i", "length", "x").agg(F.sort_array(F.collect_list("slot")).alias("slots")).select("x.source", "x.weight", "slots", "length")
 
 
+def plans(sources: DataFrame) -> DataFrame:
+    """(source, plans) from (source, weight, left): the plans that a source takes part in, in order, as structs of
+    first (its blocks before), start (slot), weight, slots and length. There are no more plans than sources."""
+    none = F.lit(0).cast("long")
+    open_ = written(sources.withColumns({"first": none, "start": none}), "sources")
+    done: DataFrame | None = None
+    while not open_.isEmpty():
+        p = period(open_.select("source", "weight"))
+        mine = open_.join(p.select(F.col("source").alias("s1"), "slots", "length"), F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
+        mine = written(mine.withColumn("missing", F.expr("(left div weight) * length + slots[int(left % weight)]")), "planned")
+        # One row: the first slot without its block.
+        end = mine.agg(F.min("missing").alias("end"))
+        taken = F.expr("(end div length) * weight + size(filter(slots, s -> s < end % length))")
+        kept = mine.select("source", "first", "start", "weight", "slots", "length")
+        done = kept if done is None else done.unionByName(kept)
+        after = mine.join(F.broadcast(end)).withColumn("taken", taken)
+        after = after.select("source", "weight", (F.col("left") - F.col("taken")).alias("left"), (F.col("first") + F.col("taken")).alias("first"), (F.col("start") + F.col("end")).alias("start"))
+        open_ = written(after.where("left > 0"), "sources")
+    if done is None:
+        done = open_.join(period(open_.select("source", "weight")), ["source", "weight"]).select("source", "first", "start", "weight", "slots", "length")
+    each = F.struct("first", "start", "weight", "slots", "length")
+    return written(done.groupBy("source").agg(F.sort_array(F.collect_list(each)).alias("plans")), "plans")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """docs with slot (of its block), place (order in the mix) and in_mix."""
     hexed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -68,7 +94,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     given = default_weights(sizes) if weights is None else weights
     given = sizes.join(given.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left")
     given = given.select("source", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).cast("long").alias("weight"))
-    plan = written(period(given), "plan")
+    plan = plans(sizes.join(given.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1"))).select("source", "weight", F.expr(f"(n + {block} - 1) div {block}").alias("left")))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("source").alias("s1"), F.col("_bucket").alias("b1"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     tie = [F.asc_nulls_first("doc_id")] + (["_text"] if texts else [])
@@ -77,38 +103,37 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK) -
     ranked = ranked.join(offsets, F.col("source").eqNullSafe(F.col("s1")) & (F.col("_bucket") == F.col("b1"))).drop("s1", "b1")
     k = F.col("offset") + F.col("_local") - 1
     ranked = ranked.withColumn("_k", k).drop("offset", "_local", *names)
-    p = plan.select(F.col("source").alias("s1"), "weight", "slots", "length")
-    placed = ranked.join(p, F.col("source").eqNullSafe(F.col("s1")))
-    number = F.expr(f"_k div {block}")
-    placed = placed.withColumn("_block", number)
-    slot = F.expr("(_block div weight) * length + slots[int(_block % weight)]").cast("long")
-    # The first slot whose block is missing or not full, over all sources.
-    ends = sizes.join(p, F.col("source").eqNullSafe(F.col("s1"))).withColumn("_block", F.expr(f"n div {block}"))
-    end = ends.agg(F.min(slot).alias("_end"))
+    p = plan.select(F.col("source").alias("s1"), "plans")
+    placed = ranked.join(p, F.col("source").eqNullSafe(F.col("s1"))).withColumn("_all", F.expr(f"_k div {block}"))
+    placed = placed.withColumn("_plan", F.element_at(F.filter("plans", lambda x: x["first"] <= F.col("_all")), -1))
+    placed = placed.withColumn("_block", F.col("_all") - F.col("_plan.first"))
+    slot = F.expr("_plan.start + (_block div _plan.weight) * _plan.length + _plan.slots[int(_block % _plan.weight)]").cast("long")
     placed = placed.withColumn("slot", slot).withColumn("place", F.col("slot") * block + F.expr(f"_k % {block}"))
-    out = placed.join(F.broadcast(end)).withColumn("in_mix", F.col("slot") < F.col("_end"))
+    out = placed.withColumn("in_mix", F.col("_plan.start") == 0)
     return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("slot", "place", "in_mix")], "slot", "place", "in_mix")
 
 
 ORACLE = f"""
 WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, n, CAST(ceil(sqrt(n)) AS BIGINT) AS r FROM c),
-w AS (SELECT source, n, greatest(1, CAST(r * {PERIOD} // sum(r) OVER () AS BIGINT)) AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM r),
-l AS (SELECT list(a ORDER BY i) AS a, CAST(sum(a) AS BIGINT) AS d FROM w),
-t(t, taken, b) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM l
+w AS (SELECT source, (n + {BLOCK} - 1) // {BLOCK} AS blocks, greatest(1, CAST(r * {PERIOD} // sum(r) OVER () AS BIGINT)) AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM r),
+l AS (SELECT list(CAST(a AS BIGINT) ORDER BY i) AS a, list(CAST(blocks AS BIGINT) ORDER BY i) AS blocks, list(CAST(0 AS BIGINT) ORDER BY i) AS zeros FROM w),
+-- One row per slot, or per new plan (b = 0): t is the next slot, t0 the first of its plan, taken the blocks in this plan.
+t(t, t0, live, taken, placed, b) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), a, zeros, zeros, CAST(0 AS BIGINT) FROM l
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(taken) + 1), lambda j: taken[j] + CASE WHEN j = nb THEN 1 ELSE 0 END), nb
-  FROM (SELECT t, taken, (list_min(list_filter(list_transform(range(1, len(taken) + 1), lambda j: CASE WHEN taken[j] * d // a[j] <= t + 1
-          THEN {{'due': ((taken[j] + 1) * d + a[j] - 1) // a[j], 'i': CAST(j AS BIGINT)}} END), lambda y: y IS NOT NULL))).i AS nb
-        FROM t, l WHERE t < d - 1)
+  SELECT CASE WHEN fits THEN t + 1 ELSE t END, CASE WHEN fits THEN t0 ELSE t END,
+         CASE WHEN fits THEN live ELSE list_transform(range(1, len(live) + 1), lambda j: CASE WHEN placed[j] < blocks[j] THEN live[j] ELSE 0 END) END,
+         CASE WHEN fits THEN list_transform(range(1, len(taken) + 1), lambda j: taken[j] + CASE WHEN j = nb THEN 1 ELSE 0 END) ELSE zeros END,
+         list_transform(range(1, len(placed) + 1), lambda j: placed[j] + CASE WHEN fits AND j = nb THEN 1 ELSE 0 END), CASE WHEN fits THEN nb ELSE 0 END
+  FROM (SELECT *, placed[nb] < blocks[nb] AS fits FROM (
+    SELECT t.*, l.blocks, l.zeros,
+           (list_min(list_filter(list_transform(range(1, len(taken) + 1), lambda j: CASE WHEN live[j] > 0 AND taken[j] * list_sum(live) // greatest(live[j], 1) <= t - t0
+             THEN {{'due': CAST(((taken[j] + 1) * list_sum(live) + live[j] - 1) // greatest(live[j], 1) AS BIGINT), 'i': CAST(j AS BIGINT)}} END), lambda y: y IS NOT NULL))).i AS nb
+    FROM t, l WHERE list_sum(placed) < list_sum(blocks)))
 ),
-s AS (SELECT b AS i, list(t ORDER BY t) AS slots FROM t WHERE t >= 0 GROUP BY b),
-p AS (SELECT w.*, s.slots, l.d FROM w JOIN s USING (i), l),
-k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents),
-e AS (SELECT min((n // {BLOCK}) // a * d + slots[CAST((n // {BLOCK}) % a AS BIGINT) + 1]) AS e FROM p)
-SELECT k.doc_id, k.source, CAST((k // {BLOCK}) // a * d + slots[CAST((k // {BLOCK}) % a AS BIGINT) + 1] AS BIGINT) AS slot,
-       CAST(((k // {BLOCK}) // a * d + slots[CAST((k // {BLOCK}) % a AS BIGINT) + 1]) * {BLOCK} + k % {BLOCK} AS BIGINT) AS place,
-       (k // {BLOCK}) // a * d + slots[CAST((k // {BLOCK}) % a AS BIGINT) + 1] < e AS in_mix
-FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source, e
+s AS (SELECT b AS i, t - 1 AS slot, t0 = 0 AS in_mix, row_number() OVER (PARTITION BY b ORDER BY t) - 1 AS block FROM t WHERE b > 0),
+k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS k FROM documents)
+SELECT k.doc_id, k.source, s.slot, CAST(s.slot * {BLOCK} + k % {BLOCK} AS BIGINT) AS place, s.in_mix
+FROM k JOIN w ON k.source IS NOT DISTINCT FROM w.source JOIN s ON s.i = w.i AND s.block = k // {BLOCK}
 """

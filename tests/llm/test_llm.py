@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -317,6 +318,38 @@ def test_source_mix(spark, docs):
     assert out.columns == [*docs.columns, "slot", "place", "in_mix"] and out.count() == docs.count()
 
 
+def test_source_mix_plans_anew_when_a_source_runs_out(spark):
+    """Slot by slot against a plain walk with given weights, and against the SQL with default ones."""
+    sizes = {"a": 61, "b": 3, "c": 8, None: 27, "d": 160}
+    weights = {"a": 5, "b": 2, "c": 3, None: 1, "d": 4}
+    ids = [s for s, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(ids)), "doc_id long, source string")
+    left, t, want, first = {s: -(-n // 4) for s, n in sizes.items()}, 0, [], None
+    while any(left.values()):
+        names = sorted((s for s in left if left[s]), key=lambda s: s or "")
+        total, taken, start = sum(weights[s] for s in names), Counter(), t
+        while True:
+            _, _, s = min((-(-(taken[s] + 1) * total // weights[s]), i, s) for i, s in enumerate(names) if taken[s] * total // weights[s] <= t - start)
+            if not left[s]:
+                break
+            want.append(s)
+            taken[s], left[s], t = taken[s] + 1, left[s] - 1, t + 1
+        first = t if first is None else first
+    given = spark.createDataFrame([(s, w) for s, w in weights.items() if s], "source string, weight long")  # null: 1
+    rows = source_mix.mix(df, given).collect()
+    by_slot = {r["slot"]: r["source"] for r in rows}
+    assert [by_slot[i] for i in range(len(by_slot))] == want and {r["doc_id"] for r in rows} == set(range(len(ids)))
+    assert all(r["in_mix"] == (r["slot"] < first) for r in rows) and 0 < first < len(want)
+    assert len({r["place"] for r in rows}) == len(rows) and max(Counter(r["slot"] for r in rows).values()) == 4
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [[i, s] for i, s in enumerate(ids)])
+    columns = ["doc_id", "source", "slot", "place", "in_mix"]
+    assert sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({source_mix.ORACLE})").fetchall()) == sorted(tuple(r[c] for c in columns) for r in source_mix.mix(df).collect())
+    assert source_mix.mix(df.limit(0)).count() == 0
+
+
 def test_clashing_columns(spark, docs, tmp_path):
     names = ["weight", "slots", "length", "slot", "place", "in_mix", "s1", "offset"]
     own = docs.select("*", *[docs["score"].cast("string").alias(c) for c in names])
