@@ -30,7 +30,8 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Look-up words that a template has at least, the share of its weight that has to match, and words that may be inserted.
 RAREST, COVERAGE, GAP = 6, 0.7, 6
 
-# The phrases that count by themselves, and notices with their key phrases.
+# The phrases that count by themselves, by default and in the query, and notices with their key phrases.
+CONTRACT_BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 BASE = (("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
 LATER = "as published by the free software foundation either version"
@@ -112,9 +113,9 @@ def settled(found: list[tuple[str, float, float, int, int]]) -> list[tuple[str,
     return [(label, cover) for label, cover, *_ in kept]
 
 
-def _scan(idf: dict[bytes, float]):
+def _scan(idf: dict[bytes, float], phrases: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = [(p.encode().split(), label) for p, label in BASE]
+        base = [(p.encode().split(), label) for p, label in phrases]
         templates = [(label, text.encode().split(), [k.encode().split() for k in keys]) for label, text, keys in TEMPLATES]
         weights = [sum(idf[w] for w in words) for _, words, _ in templates]
         postings = {w for _, words, _ in templates for w in words}
@@ -158,9 +159,10 @@ def _scan(idf: dict[bytes, float]):
             out: list[tuple] = []
             for text in batch.column("text").cast(pa.binary()):
                 words = _words(text.as_py())
-                present = postings & set(words)
+                distinct = set(words)
+                present = postings & distinct
                 places, labels = [], set()
-                if present & ends:
+                if distinct & ends:
                     where: dict[bytes, list[int]] = defaultdict(list)
                     firsts = {p[0] for p, _ in base}
                     for i, w in enumerate(words):
@@ -184,8 +186,9 @@ def _scan(idf: dict[bytes, float]):
     return run
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def scan(docs: DataFrame, base: tuple[tuple[str, str], ...] = BASE) -> DataFrame:
+    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. ``base`` are the
+    phrases that count by themselves, in lower case with one space between words, and their labels."""
     docs = docs.select("doc_id", "text")
     counts = docs.mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     held = {r["word"].encode(): r["n"] for r in written(counts, "frequencies").collect()}  # at most the templates' words
@@ -193,5 +196,5 @@ def scan(docs: DataFrame) -> DataFrame:
     idf = {w: math.log((total + 1) / (held.get(w, 0) + 1)) + 0.01 for w in _vocabulary()}
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
-        _scan(idf), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        _scan(idf, base), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from pricelens.llm import (
     chat_format, components, decontamination, language_id, license_scan, minhash_dedup, quality_rules, source_mix, substring_dedup,
-    suffix_dedup, url_filter,
+    queries, suffix_dedup, url_filter,
 )
 
 
@@ -427,6 +427,26 @@ def test_license_scan(docs):
     assert (got[6]["n_words"], got[6]["first_word"], got[6]["labels"], got[6]["score"]) == (0, None, "", 0.0)
 
 
+def test_license_query_counts_the_phrases_of_its_contract(spark, tmp_path):
+    """Base columns by plain search; ``the mit license`` without ``under`` is no base phrase."""
+    rng = random.Random(7)
+    texts = ["The MIT License", "under THE mit-license, under the under the mit\nlicense", "cc by ncx cc by nc", "Apache License, Version 2.0", "åunder the mit license", None, ""]
+    stock = ["Under", "the", "MIT", "license", "apache", "version", "2", "cc", "by", "nc", "é"]
+    texts += [rng.choice([" ", "-", ". "]).join(rng.choices(stock, k=rng.randint(0, 12))) for _ in range(100)]
+    texts += [f"{a} {p} {b}" for (p, _), a, b in zip(PHRASES * 10, texts[7:], texts[40:])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+        at = sorted((k, label) for p, label in PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.encode().split())
+        want.append((i, len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at}))))
+    got = queries.QUERIES["op7_license_scan"](spark, str(tmp_path))
+    assert rows_of(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(want, key=repr)
+    labels = {r["doc_id"]: r for r in got.collect()}
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in labels.values())
+
+
+PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 NOTICES = [
     ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3"),
     ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
