@@ -77,7 +77,7 @@ def _settle(df: DataFrame) -> DataFrame:
 def _split_address(df: DataFrame) -> DataFrame:
     """lines -> address, area, body. The first line naming a municipality is the area and
     the line before it the address; without one, line 0 is the address."""
-    at = _first_index(F.col("lines"), lambda line: F.lower(line).contains("kommun"))
+    at = _first_index(F.col("lines"), _matches("(?iu)kommun"))
     df = df.withColumn("area_at", F.when(at > 0, at))
     has_area = F.col("area_at").isNotNull()
     return _settle(
@@ -120,8 +120,17 @@ def parse_sold_cards(cards: DataFrame, site: str = "", keep: list[str] | None =
         F.size(body),
     )
     between = F.slice(body, F.col("fee_at") + 2, F.greatest(F.col("price_at") - F.col("fee_at") - 1, F.lit(0)))
-    parsed = base.withColumn("fee_at", fee_at).withColumn("price_at", price_at)
-    diff = find_in_lines(body, fv.PRICE_DIFF)
+    # The texts of the numbers are columns first: a number names its text several times.
+    parsed = base.withColumn("fee_at", fee_at).withColumn("price_at", price_at).withColumns(
+        {
+            "_m2": find_in_lines(body, fv.AREA_M2),
+            "_rooms": find_in_lines(body, fv.ROOMS),
+            "_fee": find_in_lines(body, fv.MONTHLY_FEE),
+            "_price": find_in_lines(body, fv.FINAL_PRICE),
+            "_per_m2": find_in_lines(body, fv.PRICE_PER_M2),
+            "_diff": find_in_lines(body, fv.PRICE_DIFF),
+        }
+    )
     return parsed.select(
         *keep,
         "href",
@@ -130,12 +139,12 @@ def parse_sold_cards(cards: DataFrame, site: str = "", keep: list[str] | None =
         tx.swedish_date("sold_date").alias("sold_on"),
         "address",
         "area",
-        tx.list_number(find_in_lines(body, fv.AREA_M2)).alias("m2"),
-        tx.list_number(find_in_lines(body, fv.ROOMS)).alias("rooms"),
-        tx.list_integer(find_in_lines(body, fv.MONTHLY_FEE)).alias("fee_kr"),
-        tx.list_integer(find_in_lines(body, fv.FINAL_PRICE)).alias("price_kr"),
-        tx.list_integer(find_in_lines(body, fv.PRICE_PER_M2)).alias("kr_per_m2"),
-        tx.signed_percent(diff).alias("price_diff_pct"),
+        tx.list_number("_m2").alias("m2"),
+        tx.list_number("_rooms").alias("rooms"),
+        tx.list_integer("_fee").alias("fee_kr"),
+        tx.list_integer("_price").alias("price_kr"),
+        tx.list_integer("_per_m2").alias("kr_per_m2"),
+        tx.signed_percent("_diff").alias("price_diff_pct"),
         F.when(
             F.col("fee_at") < F.col("price_at"),
             F.filter(between, lambda line: ~F.regexp_like(line, F.lit(r"(?U)\d")) & ~line.contains("kr/mån")),
@@ -163,7 +172,16 @@ def parse_onsale_cards(cards: DataFrame, site: str = "", keep: list[str] | None
     )
     base = _split_address(base)
     body = F.col("body")
-    base = base.withColumn("floor_line", _first(body, lambda line: F.lower(line).contains("vån")))
+    base = base.withColumns(
+        {
+            "floor_line": _first(body, _matches("(?iu)vån")),
+            "_price": find_in_lines(body, fv.ASKING_PRICE),
+            "_m2": find_in_lines(body, fv.AREA_M2),
+            "_rooms": find_in_lines(body, fv.ROOMS),
+            "_fee": find_in_lines(body, fv.MONTHLY_FEE),
+            "_per_m2": find_in_lines(body, fv.PRICE_PER_M2),
+        }
+    )
     stated = F.regexp_like("floor_line", F.lit(fv.FLOOR_OF))
     tags = fv.PROMOTION_TAGS + fv.FEATURE_TAGS
     return base.select(
@@ -173,11 +191,11 @@ def parse_onsale_cards(cards: DataFrame, site: str = "", keep: list[str] | None
         "visning",
         "address",
         "area",
-        tx.list_integer(find_in_lines(body, fv.ASKING_PRICE)).alias("asking_price_kr"),
-        tx.list_number(find_in_lines(body, fv.AREA_M2)).alias("m2"),
-        tx.list_number(find_in_lines(body, fv.ROOMS)).alias("rooms"),
-        tx.list_integer(find_in_lines(body, fv.MONTHLY_FEE)).alias("fee_kr"),
-        tx.list_integer(find_in_lines(body, fv.PRICE_PER_M2)).alias("kr_per_m2"),
+        tx.list_integer("_price").alias("asking_price_kr"),
+        tx.list_number("_m2").alias("m2"),
+        tx.list_number("_rooms").alias("rooms"),
+        tx.list_integer("_fee").alias("fee_kr"),
+        tx.list_integer("_per_m2").alias("kr_per_m2"),
         F.when(stated, tx.capture("floor_line", fv.FLOOR_OF, 1))
         .otherwise(tx.capture("address", fv.FLOOR_SUFFIX, 1))
         .try_cast("int")

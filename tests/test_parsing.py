@@ -156,3 +156,16 @@ def test_type_inference(spark):
     rows = [("/bostad/lagenhet-2", "fin PARVILLA"), ("/bostad/lagenhet-2", "radhuset"), ("/x", None), ("/bostad/villa-1", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, u string, d string").orderBy("i")
     assert [r[0] for r in df.select(detail.inferred_type("u", "d")).collect()] == ["Parhus", "Lägenhet", None, "Villa"]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_card_texts_are_searched_once(spark):
+    """A number names its text several times; the lines are searched for it once."""
+    df = spark.createDataFrame([("/salda/x-1", "Gatan 1\nSöder, Solna \u212aOMMUN\n44 m²\n2 rum\nVÅN 2/3")], "href string, text string")
+    for parse, pattern in ((cards.parse_sold_cards, fv.AREA_M2), (cards.parse_onsale_cards, fv.ASKING_PRICE)):
+        parsed = parse(df)
+        assert optimized(parsed).count(f"regexp_extract(filter(body") <= 7 and optimized(parsed).count(pattern) <= 2
+        assert one(parsed)["area"] == "Söder, Solna \u212aOMMUN" and one(parsed)["m2"] == 44.0
