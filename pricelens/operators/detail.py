@@ -24,7 +24,7 @@ def label_values(body: Column | str, labels: list[str], cut_panel: bool = True)
         def candidate(line: Column, i: Column) -> Column:
             following = F.slice(lines, i + 2, F.lit(fv.VALUE_LOOKAHEAD_LINES))
             value = F.get(F.filter(following, lambda v: v != ""), F.lit(0))
-            return F.struct(line.alias("key"), F.when(line.isin(labels), value).alias("value"))
+            return F.when(line.isin(labels), F.struct(line.alias("key"), value.alias("value")))
 
         return F.filter(F.transform(lines, candidate), lambda p: p["value"].isNotNull())
 
@@ -41,8 +41,14 @@ def _value(raw: Column | str, label: str) -> Column:
     return F.try_element_at(tx.col(raw), F.lit(label))
 
 
+def _is(c: Column, word: str) -> Column:
+    """The trimmed text is the word, whatever its case. The words here have no letter that folds otherwise than it
+    lowers (i and s would), and a regular expression is cheaper than lowering a text outside ASCII."""
+    return F.regexp_like(tx.squash(c), F.lit(rf"(?iu)\A{word}\z"))
+
+
 def _yes(c: Column) -> Column:
-    return F.lower(tx.squash(c)) == "ja"
+    return _is(c, "ja")
 
 
 def typed_facts(raw: Column | str, kind: Column | str) -> dict[str, Column]:
@@ -101,20 +107,15 @@ def typed_facts(raw: Column | str, kind: Column | str) -> dict[str, Column]:
 def association_facts(raw: Column | str) -> dict[str, Column]:
     """Association panel in either layout: explicit rows first, the legacy row second."""
 
-    def low(label: str) -> Column:
-        return F.lower(tx.squash(_value(raw, label)))
-
     legacy = _value(raw, "Äkta förening")
 
     def number(label: str) -> Column:
         return tx.detail_integer(F.replace(_value(raw, label), F.lit("kr/m²"), F.lit(""))).cast("int")
 
-    owns = F.when(low("Äger marken") == "ja", True).when(low("Äger marken") == "nej", False)
-    owns_legacy = F.when(low("Äkta förening") == "äger marken", True).when(
-        low("Äkta förening") == "tomträtt", False
-    )
-    status = low("Status")
-    genuine = F.when(status.contains("oäkta"), False).when(status.contains("äkta"), True)
+    land, status = _value(raw, "Äger marken"), _value(raw, "Status")
+    owns = F.when(_is(land, "ja"), True).when(_is(land, "nej"), False)
+    owns_legacy = F.when(_is(legacy, "äger marken"), True).when(_is(legacy, "tomträtt"), False)
+    genuine = F.when(F.regexp_like(status, F.lit("(?iu)oäkta")), False).when(F.regexp_like(status, F.lit("(?iu)äkta")), True)
     return {
         "brf_ager_marken": F.coalesce(owns, owns_legacy),
         "brf_akta": F.coalesce(genuine, F.when(legacy.isNotNull(), True)),

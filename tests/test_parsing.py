@@ -169,3 +169,12 @@ def test_card_texts_are_searched_once(spark):
         parsed = parse(df)
         assert optimized(parsed).count(f"regexp_extract(filter(body") <= 7 and optimized(parsed).count(pattern) <= 2
         assert one(parsed)["area"] == "Söder, Solna \u212aOMMUN" and one(parsed)["m2"] == 44.0
+
+
+def test_association_words_in_any_case(spark):
+    cases = [("JA", "OÄKTA förening", True, False), (" nEj\u2003", "en Äkta", False, True), ("ja!", "okänd", None, None), ("ja\n", "oäktä", True, None)]
+    rows = [(i, {"Äger marken": own, "Status": status}) for i, (own, status, _, _) in enumerate(cases)]
+    facts = detail.association_facts("raw")
+    df = spark.createDataFrame(rows, "i int, raw map<string,string>").select("i", *[facts[c].alias(c) for c in ("brf_ager_marken", "brf_akta")])
+    assert {r.i: (r.brf_ager_marken, r.brf_akta) for r in df.collect()} == {i: c[2:] for i, c in enumerate(cases)}
+    assert "lower(" not in optimized(df)  # lowering a text outside ASCII is dear
