@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricelens import fixed_values as fv
 from pricelens.functions import text as tx
 from pricelens.operators import features
+from pricelens.operators.levels import district_names, with_districts
 from pricelens.plans import hedonic
 
 FEATURE_SETS = {
@@ -65,30 +66,23 @@ def sweep(sold: DataFrame, is_test: Column | None = None) -> tuple[DataFrame, Da
     """(metrics per config and sub-model, weighted metrics per config)."""
     wanted = sorted({s for sets in config_sets().values() for s, _ in sets})
     feats = features.featurize(sold.where(F.col("price_kr") > 0)).withColumn("log_price", F.log("price_kr"))
-    feats = feats.withColumn(
-        "is_test", hedonic.holdout_flag(F.col("listing_id")) if is_test is None else is_test
-    ).withColumns({"coarse": tx.coarse_district("area"), "fine": tx.fine_district("area")})
+    feats = feats.withColumn("is_test", hedonic.holdout_flag(F.col("listing_id")) if is_test is None else is_test)
+    feats = with_districts(feats, district_names(sold))
     region, apartment = tx.region_of_district("coarse"), F.col("bostadstyp").isin(fv.APARTMENT_TYPES)
-    member = []
-    for name in wanted:
-        encoder, scope, part = name.split("/")
-        belongs = F.lit(True)
-        if scope == "apt":
-            belongs = belongs & F.coalesce(apartment, F.lit(False))
-        if part != "whole":
-            belongs = belongs & (region == part)
-        member.append(
-            F.when(
-                belongs,
-                F.struct(
-                    F.lit(name).alias("model"),
-                    F.col(encoder).alias("district"),
-                    F.lit(encoder == "fine").alias("fold_fine"),
-                ),
-            )
-        )
-    rows = feats.withColumn("m", F.explode(F.array_compact(F.array(*member)))).select(
-        "m.*", "coarse", "log_price", "is_test", *features.RAW_FEATURES
+
+    def sets_with(scope: tuple[str, ...], part: tuple[str, ...]) -> Column:
+        """The training sets of a scope and part of town: constants, so a row only picks its list."""
+        chosen = [n for n in wanted if n.split("/")[1] in scope and n.split("/")[2] in part]
+        return F.array(*[F.struct(F.lit(n).alias("model"), F.lit(n.startswith("fine/")).alias("fold_fine")) for n in chosen])
+
+    member = (
+        F.when(apartment & (region == "inner"), sets_with(("all", "apt"), ("whole", "inner")))
+        .when(apartment, sets_with(("all", "apt"), ("whole", "outer")))
+        .otherwise(sets_with(("all",), ("whole",)))
+    )
+    rows = feats.withColumn("m", F.explode(member)).select(
+        "m.*", F.when(F.col("m.fold_fine"), F.col("fine")).otherwise(F.col("coarse")).alias("district"),
+        "coarse", "log_price", "is_test", *features.RAW_FEATURES,
     )
     fitted = hedonic.train(rows, fv.ASSOCIATION_FEATURES, FEATURE_SETS)
     pairs = [(c, s, f) for c, sets in config_sets().items() for s, f in sets]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricelens import fixed_values as fv
 from pricelens.functions import text as tx
 from pricelens.operators import features
-from pricelens.operators.levels import liquidity_tiers, with_liquidity
+from pricelens.operators.levels import district_names, liquidity_tiers, with_districts, with_liquidity
 from pricelens.operators.nearest import nearest_label_vote
 from pricelens.plans import hedonic
 from pricelens.session import cut_lineage
@@ -28,18 +28,18 @@ MODELLED_TYPES = fv.APARTMENT_TYPES + fv.VILLA_TYPES + fv.ROW_TYPES
 
 def _encode(rows: DataFrame, district: Column | None = None) -> DataFrame:
     """District label by the model's encoder: coarse for the inner model, else fine.
-    ``coarse`` is already a column."""
+    ``coarse`` and ``fine`` are already columns."""
     fine = F.col("model") != "apt_inner"
-    label = F.when(fine, tx.fine_district("area")).otherwise(F.col("coarse"))
+    label = F.when(fine, F.col("fine")).otherwise(F.col("coarse"))
     return rows.withColumns(
         {"district": F.coalesce(district, label) if district is not None else label, "fold_fine": fine}
     )
 
 
-def training_rows(sold: DataFrame, is_test: Column | None = None) -> DataFrame:
-    """Sold rows with a price, an area and a modelled type, one model each."""
+def training_rows(sold: DataFrame, is_test: Column | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Sold rows with a price, an area and a modelled type, one model each. ``names``: ``district_names``."""
     usable = sold.where((F.col("price_kr") > 0) & F.col("bostadstyp").isin(MODELLED_TYPES))
-    usable = usable.withColumn("coarse", tx.coarse_district("area")).withColumn(
+    usable = with_districts(usable, district_names(sold) if names is None else names).withColumn(
         "model", model_key(F.col("bostadstyp"), tx.region_of_district("coarse"))
     )
     feats = features.featurize(usable)
@@ -55,8 +55,8 @@ def deal_pct(predicted: Column, asking: Column) -> Column:
     return (predicted - asking) / asking * 100
 
 
-def train_models(sold: DataFrame, is_test: Column | None = None) -> hedonic.Hedonic:
-    return hedonic.train(training_rows(sold, is_test), fv.NUMERIC_FEATURES)
+def train_models(sold: DataFrame, is_test: Column | None = None, names: DataFrame | None = None) -> hedonic.Hedonic:
+    return hedonic.train(training_rows(sold, is_test, names), fv.NUMERIC_FEATURES)
 
 
 def score_listings(
@@ -64,17 +64,19 @@ def score_listings(
 ) -> DataFrame:
     """On-sale rows with predicted price, deal % and model columns; rows of a type without
     a model, or without an area, are dropped. ``sold`` needs an order column ``pos``."""
-    models = models or train_models(sold, is_test)
-    labelled = sold.select("lat", "lon", "pos", tx.coarse_district("area").alias("label"))
+    names = district_names(sold, onsale)
+    models = models or train_models(sold, is_test, names)
+    labelled = with_districts(sold.select("lat", "lon", "pos", "area"), names).select("lat", "lon", "pos", F.col("coarse").alias("label"))
     scorable = onsale.where(F.col("bostadstyp").isin(MODELLED_TYPES))
-    routed = nearest_label_vote(scorable, labelled).withColumn("coarse", tx.coarse_district("area"))
+    routed = with_districts(nearest_label_vote(scorable, labelled), names)
     region = tx.region_of_district(F.coalesce("stadsdel_resolved", "coarse"))
     routed = routed.withColumn("region", region).withColumn(
         "model", model_key(F.col("bostadstyp"), F.col("region"))
     )
     feats = _encode(features.featurize(routed), F.col("stadsdel_resolved"))
     scored = hedonic.predict(models, feats)
-    tiers = cut_lineage(liquidity_tiers(sold.withColumn("stadsdel", tx.coarse_district("area"))), "tiers")
+    named = with_districts(sold.select("area", "price_diff_pct"), names)
+    tiers = cut_lineage(liquidity_tiers(named.withColumnRenamed("coarse", "stadsdel")), "tiers")
     mape = models.metrics.select("model", F.round("mape_pct", 1).alias("model_mape_pct"))
     keep = [c for c in onsale.columns if c not in ("is_tomratt", "region")]
     out = (

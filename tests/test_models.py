@@ -242,3 +242,14 @@ def test_sweep_covers_every_configuration(spark):
     rows = detail.where("config = 'G'").collect()
     total = sum(r.n_test * r.mape_pct for r in rows) / sum(r.n_test for r in rows)
     assert combined.where("config = 'G'").first().mape_pct == pytest.approx(total)
+
+
+def test_each_area_text_is_parsed_once(spark):
+    """Districts come from the distinct area texts, null and empty ones included, and rows keep their number."""
+    areas = [None, "", "  ", "Norra Ängby, Stockholms kommun", "Spånga - Tensta, X", "Spånga - Tensta, X", "Vasastan"]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(areas)], "i int, area string")
+    named = levels.with_districts(df, levels.district_names(df, df))
+    want = df.select("i", tx.coarse_district("area"), tx.fine_district("area")).collect()
+    assert sorted(tuple(r) for r in named.select("i", "coarse", "fine").collect()) == sorted(tuple(r) for r in want)
+    sold = frame(spark, sample(40, 1, True), "price_kr")
+    assert "initcap" not in scoring.training_rows(sold)._jdf.queryExecution().optimizedPlan().toString().lower()
